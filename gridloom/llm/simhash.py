@@ -56,18 +56,27 @@ def fingerprint_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, some
 
 
+def node(prints: np.ndarray) -> np.ndarray:
+    """A number for each fingerprint (rows, 4)."""
+    out = np.zeros(len(prints), B.U64)
+    for k in range(LANES):
+        out = B.mix(out + prints[:, k])
+    return out.view(np.int64)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, f0..f3) by row; th tells texts under one doc_id apart. Texts without a word have no fingerprint."""
+    """(doc_id, th, node, f0..f3) by row; th tells texts under one doc_id apart. Texts without a word have no fingerprint."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints, some = fingerprint_batch(batch.column(2))
         keep = pa.array(some)
-        cols = [batch.column(0).filter(keep), batch.column(1).filter(keep)]
-        cols += [pa.array(np.ascontiguousarray(prints[some, k]).view(np.int64)) for k in range(LANES)]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "f0", "f1", "f2", "f3"])
+        prints = prints[some]
+        cols = [batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(node(prints))]
+        cols += [pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(LANES)]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "node", "f0", "f1", "f2", "f3"])
 
     rows = pick(docs, doc_id="doc_id", text="text").where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return map_batches(rows, f, "doc_id bigint, th bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint", 1000)
+    return map_batches(rows, f, "doc_id bigint, th bigint, node bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint", 1000)
 
 
 def projections(s: Settings) -> np.ndarray:
@@ -110,25 +119,27 @@ def close_pairs(cell: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np
 
 
 def near_pairs(prints: DataFrame, s: Settings) -> DataFrame:
-    """(a, b) of distinct nodes of prints (node, f0..f3), each pair once, a < b."""
+    """(a, b) of distinct nodes of prints (f0..f3), each pair once, a < b.
+
+    Only the cell and the fingerprint move: the node's number follows from the latter. Rows go out table by table, so that
+    what a shuffle block compresses to doesn't depend on how many blocks there are.
+    """
 
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node = batch.column(0)
-        f = np.stack([batch.column(1 + k).to_numpy() for k in range(LANES)], 1).view(B.U64)
-        at = np.repeat(np.arange(len(f)), s.tables)
-        cell = cells(np.ascontiguousarray(f), s).ravel()
-        cols = [pa.array(cell), node.take(pa.array(at))] + [pa.array(f[at, k].view(np.int64)) for k in range(LANES)]
-        return pa.RecordBatch.from_arrays(cols, ["cell", "node", "f0", "f1", "f2", "f3"])
+        f = np.stack([batch.column(k).to_numpy() for k in range(LANES)], 1).view(B.U64)
+        at = np.tile(np.arange(len(f)), s.tables)
+        cell = cells(np.ascontiguousarray(f), s).T.ravel()
+        cols = [pa.array(np.ascontiguousarray(cell))] + [pa.array(f[at, k].view(np.int64)) for k in range(LANES)]
+        return pa.RecordBatch.from_arrays(cols, ["cell", "f0", "f1", "f2", "f3"])
 
     def join(batches):
         kept: list[pa.RecordBatch] = []
 
         def pairs(t: pa.Table) -> pa.RecordBatch:
-            f = np.stack([t.column(2 + k).to_numpy() for k in range(LANES)], 1).view(B.U64)
-            node = t.column(1).to_numpy()
-            x, y = close_pairs(t.column(0).to_numpy(), np.ascontiguousarray(f), s.distance)
-            both = np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1)
-            both = np.unique(both[both[:, 0] != both[:, 1]], axis=0)
+            f = np.ascontiguousarray(np.stack([t.column(1 + k).to_numpy() for k in range(LANES)], 1).view(B.U64))
+            x, y = close_pairs(t.column(0).to_numpy(), f, s.distance)
+            a, b = node(f[x]), node(f[y])
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
         rows = 0
@@ -146,8 +157,7 @@ def near_pairs(prints: DataFrame, s: Settings) -> DataFrame:
         if rows:
             yield pairs(pa.Table.from_batches(kept))
 
-    schema = "cell bigint, node bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
-    grid = map_batches(prints.select("node", "f0", "f1", "f2", "f3"), explode, schema, 2000)
+    grid = map_batches(prints.select("f0", "f1", "f2", "f3"), explode, "cell bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint", 4000)
     return grid.repartition("cell").sortWithinPartitions("cell").mapInArrow(join, "a bigint, b bigint").distinct()
 
 
@@ -175,7 +185,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, th, root) of every row that has a near copy; root names the group."""
-    rows = cut(fingerprints(docs).withColumn("node", F.xxhash64("f0", "f1", "f2", "f3")))
+    rows = cut(fingerprints(docs))
     nodes = rows.groupBy("node").agg(*[F.first(f"f{k}").alias(f"f{k}") for k in range(LANES)], F.count("*").alias("n"))
     roots = components(near_pairs(nodes, s))
     # Rows of one fingerprint form a group without any pair.
