@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bytesnp as B
-from gridloom.llm.common import map_batches, pick, table
+from gridloom.llm.common import list_array, map_batches, pick, table
 
 #: Identity terms by category; the first word of each is the neutral one.
 IDENTITY = (
@@ -60,54 +60,66 @@ def word_hash(word: str) -> int:
     return int(_words(pa.array([word])).hash[0])
 
 
-def _swaps(texts: list[str], groups: tuple[tuple[str, ...], ...]) -> dict[tuple[int, int], int]:
-    """How many labelled sentences swap one identity term (by its hash) for another."""
-    category = [{word_hash(t) for t in g} for g in groups]
-    every = np.array(sorted(set().union(*category)) if category else [], B.U64)
+def _sentences(text: str) -> list[str]:
+    return text.replace("!", ".").replace("?", ".").replace("\n", ".").split(".")
+
+
+def features(texts: pa.Array, s: Settings) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each text the hashes of its distinct words, and of the identity terms of each of its sentences."""
+    w = _words(texts)
+    words = [np.unique(w.hash[a:b]) for a, b in zip(w.first, w.first[1:], strict=False)]
+    every = np.array(sorted({word_hash(t) for g in s.identity for t in g}), B.U64)
+    named: list[np.ndarray] = [np.zeros(0, B.U64)] * len(words)
+    has = np.unique(w.row[np.isin(w.hash, every)])
+    for i in has.tolist():
+        p = _words(pa.array(_sentences(texts[i].as_py())))
+        hit = np.isin(p.hash, every)
+        named[i] = np.array([h for _, h in sorted({*zip(p.row[hit].tolist(), p.hash[hit].tolist(), strict=True)})], B.U64)
+
+    def column(lists: list[np.ndarray]) -> pa.ListArray:
+        flat = np.concatenate([*lists, np.zeros(0, B.U64)]).view(np.int64)
+        return list_array(pa.array(flat), [len(x) for x in lists])
+
+    return column(words), column(named)
+
+
+def _swaps(named: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> dict[tuple[int, int], int]:
+    """How many labelled sentences swap one identity term (by its hash) for another of its category."""
     count: dict[tuple[int, int], int] = {}
-    if not len(every):
-        return count
-    sentences = [s for t in texts for s in _sentences(t)]
-    for at in range(0, len(sentences), 20_000):
-        w = _words(pa.array(sentences[at : at + 20_000]))
-        hit = np.isin(w.hash, every)
-        for _, term in sorted({*zip(w.row[hit].tolist(), w.hash[hit].tolist(), strict=True)}):
-            for c in category:
-                if term in c:
-                    for other in c - {term}:
-                        count[term, other] = count.get((term, other), 0) + 1
+    category = [{word_hash(t) for t in g} for g in groups]
+    for term, n in zip(*[x.tolist() for x in np.unique(named, return_counts=True)], strict=True):
+        for c in category:
+            if term in c:
+                for other in c - {term}:
+                    count[term, other] = count.get((term, other), 0) + n
     return count
 
 
-def _sentences(text: str) -> list[str]:
-    return text.replace("!", ".").replace("?", ".").replace("\n", ".").split(".")
+def train(texts: list[str | None], toxic: list[int], s: Settings = Settings()) -> Model:
+    """As train_on, from texts."""
+    words, named = features(pa.array(texts, pa.string()), s)
+    return train_on(words, named, np.array(toxic, np.float64), s)
 
 
-def train(texts: list[str | None], toxic: list[int], s: Settings = Settings()) -> Model:
+def train_on(words: pa.ListArray, named: pa.ListArray, y: np.ndarray, s: Settings) -> Model:
     """Proximal gradient descent with momentum. Without a toxic or without a clean row, nothing is toxic."""
-    y = np.array(toxic, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, B.U64), np.zeros(0), -20.0)
-    hashes, rows = [], []
-    for at in range(0, len(texts), 256):
-        w = _words(pa.array(texts[at : at + 256], pa.string()))
-        for i in range(len(w.first) - 1):
-            u = np.unique(w.hash[w.first[i] : w.first[i + 1]])
-            hashes.append(u)
-            rows.append(np.full(len(u), at + i))
-    vocabulary, index, docs = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    row = np.concatenate(rows)
+    sizes = np.diff(words.offsets.to_numpy())
+    vocabulary, index, docs = np.unique(words.flatten().to_numpy().view(B.U64), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
     # Every identity term stays, or its swap could not be charged.
-    named = np.array([word_hash(t) for g in s.identity for t in g], B.U64)
-    kept = (docs >= s.min_docs) | np.isin(vocabulary, named)
-    renumber = np.cumsum(kept) - 1
+    terms = np.array([word_hash(t) for g in s.identity for t in g], B.U64)
+    kept = (docs >= s.min_docs) | np.isin(vocabulary, terms)
+    renumber = (np.cumsum(kept) - 1).astype(np.int32)
     use = kept[index]
     index, row, vocabulary = renumber[index[use]], row[use], vocabulary[kept]
+    del use, docs, renumber
     n, d = len(y), len(vocabulary)
     if not d:
         return Model(np.zeros(0, B.U64), np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))))
-    known = {int(h) for h in vocabulary}
-    pairs = [((a, b), c) for (a, b), c in _swaps([t or "" for t in texts], s.identity).items() if a in known]
+    known = {int(h) for h in vocabulary[np.isin(vocabulary, terms)]}
+    pairs = [((a, b), c) for (a, b), c in _swaps(named.flatten().to_numpy().view(B.U64), s.identity).items() if a in known]
     left = np.searchsorted(vocabulary, np.array([a for (a, _), _ in pairs], B.U64))
     # A term that no labelled row has weighs nothing: the swap is charged against zero.
     other = np.array([b in known for (_, b), _ in pairs], bool)
@@ -120,9 +132,15 @@ def train(texts: list[str | None], toxic: list[int], s: Settings = Settings()) -
     curve = 0.25 * np.bincount(index, weights=np.minimum(length[row], 40.0), minlength=d) + 1e-3
     np.add.at(curve, left, 4 * times)
     np.add.at(curve, right[other], 4 * times[other])
-    look, momentum = weight.copy(), 1.0
+    look, momentum, least = weight.copy(), 1.0, np.inf
     for _ in range(s.rounds):
         score = bias + np.bincount(row, weights=look[index], minlength=n)
+        cost = np.logaddexp(0, score).sum() - (y * score).sum() + s.l1 * np.abs(look).sum()
+        if cost > 1.05 * least:
+            # Words that go together were stepped too far: smaller steps from the last weights.
+            curve, look, momentum = 2 * curve, weight.copy(), 1.0
+            score = bias + np.bincount(row, weights=look[index], minlength=n)
+        least = min(least, cost)
         slope = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y
         gradient = np.bincount(index, weights=slope[row], minlength=d)
         if len(pairs):
@@ -155,15 +173,23 @@ def score_batch(texts: pa.Array, model: Model) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """Train on at most s.train_rows labelled rows of docs; rows without doc_id, text or label don't count."""
+    """Train on at most s.train_rows labelled rows of docs; rows without doc_id, text or label don't count.
+
+    The chosen labels, s.train_rows at most whatever the tables' size, are broadcast, so that no text is shuffled.
+    """
     mixed = (F.pmod(F.col("doc_id"), F.lit(1 << 31)) * 1103515245 + 12345) % F.lit((1 << 31) - 1)
     known = pick(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic is not null")
     chosen = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).orderBy(mixed, "doc_id").limit(s.train_rows)
-    joined = pick(docs, doc_id="doc_id", text="text").where("text is not null").join(chosen, "doc_id").select("doc_id", "toxic", "text")
-    got = joined.toArrow()
-    order = np.lexsort((got["doc_id"].to_numpy(),))
-    got = got.take(pa.array(order)).slice(0, 2 * s.train_rows)
-    return train(got["text"].to_pylist(), got["toxic"].to_pylist(), s)
+    joined = pick(docs, doc_id="doc_id", text="text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *features(batch.column(2), s)], ["doc_id", "toxic", "words", "named"])
+
+    got = map_batches(joined, f, "doc_id bigint, toxic int, words array<bigint>, named array<bigint>", 1000).toArrow()
+    got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy(), kind="stable"))).combine_chunks()
+    y = got["toxic"].to_numpy().astype(np.float64)
+    words, named = (got[c].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64())) for c in ("words", "named"))
+    return train_on(words, named, y, s)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
