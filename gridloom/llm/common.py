@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +53,7 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[col(there).alias(here) for here, there in names.items()])
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int | None = None) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int | None = None) -> DataFrame:
     """df through f, Arrow batch by Arrow batch, in slices of at most ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,6 +64,18 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
+def map_named(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType, rows: int) -> DataFrame:
+    """As map_batches, for columns of any name: Spark resolves what it hands to Python by name, where dots fail."""
+    names, out = df.columns, schema.names
+    places = StructType([StructField(f"_{i}", x.dataType, True) for i, x in enumerate(schema)])
+
+    def renamed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = f(pa.RecordBatch.from_arrays(batch.columns, names))
+        return pa.RecordBatch.from_arrays(got.columns, [f"_{i}" for i in range(len(out))])
+
+    return map_batches(df.toDF(*[f"_{i}" for i in range(len(names))]), renamed, places, rows).toDF(*out)
+
+
 def list_array(values: pa.Array, lengths) -> pa.ListArray:
     """Rows of a list column from their values one after another and the rows' lengths."""
     import numpy as np

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bytesnp as B
-from gridloom.llm.common import col, map_batches, pick, table
+from gridloom.llm.common import col, map_batches, map_named, pick, table
 
 
 @dataclass(frozen=True)
@@ -468,7 +468,7 @@ def keep(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         return pa.RecordBatch.from_arrays([cols[c] for c in docs_columns], docs_columns).filter(pa.array(stays))
 
     docs_columns = docs.columns
-    return map_batches(joined, f, schema, 1000)
+    return map_named(joined, f, schema, 1000)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bytesnp as B
-from gridloom.llm.common import list_array, map_batches, pick, table
+from gridloom.llm.common import list_array, map_batches, map_named, pick, table
 
 #: Identity terms by category; the first word of each is the neutral one.
 IDENTITY = (
@@ -117,7 +117,7 @@ def train_on(words: pa.ListArray, named: pa.ListArray, y: np.ndarray, s: Setting
     del use, docs, renumber
     n, d = len(y), len(vocabulary)
     if not d:
-        return Model(np.zeros(0, B.U64), np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))))
+        return Model(np.zeros(0, B.U64), np.zeros(0), -20.0)
     known = {int(h) for h in vocabulary[np.isin(vocabulary, terms)]}
     pairs = [((a, b), c) for (a, b), c in _swaps(named.flatten().to_numpy().view(B.U64), s.identity).items() if a in known]
     left = np.searchsorted(vocabulary, np.array([a for (a, _), _ in pairs], B.U64))
@@ -157,7 +157,9 @@ def train_on(words: pa.ListArray, named: pa.ListArray, y: np.ndarray, s: Setting
         weight, momentum = after, grown
         bias -= slope.sum() / (0.25 * n)
     live = np.flatnonzero(weight)
-    return Model(vocabulary[live], weight[live], float(bias))
+    # Without evidence no text is toxic, however many of the labelled ones are.
+    neutral = np.log(s.threshold / (1 - s.threshold)) - 0.01
+    return Model(vocabulary[live], weight[live], float(min(bias, neutral)))
 
 
 def score_batch(texts: pa.Array, model: Model) -> np.ndarray:
@@ -221,7 +223,7 @@ def keep(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFr
         text = batch.column(batch.schema.get_field_index("text"))
         return batch.filter(pa.array(score_batch(text, shared.value) < s.threshold))
 
-    return map_batches(docs, f, docs.schema, 1000)
+    return map_named(docs, f, docs.schema, 1000)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
