@@ -3,15 +3,16 @@
 A model of characters, folded to 64 symbols, of order four. The maximum-likelihood estimates of orders 4, 3, 2 and 1 and
 the uniform one are mixed by weights that depend on how often the context of three was seen (by powers of two). The
 weights are learned by expectation-maximisation on the counts of held-out documents, against estimates from the others;
-the scores then use the counts of all documents.
+the scores then use the counts of all documents but the one scored: a text must not vouch for itself.
 
-64**4 n-grams bound the table of counts and the broadcast of probabilities (64 MB), however large the corpus is; what is
-gathered from the corpus are the counts of each task's n-grams, added up by n-gram.
+64**4 n-grams bound the table of counts and its broadcast (128 MB), however large the corpus is; what is gathered from
+the corpus are the counts of each task's n-grams, added up by n-gram.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -104,7 +105,7 @@ def ratio(n: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 class Counts:
-    """Dense counts of all orders from those of the highest."""
+    """Dense counts of all orders, and of the contexts, from those of the highest."""
 
     def __init__(self, code: np.ndarray, n: np.ndarray) -> None:
         self.four = np.zeros(A**4, np.int64)
@@ -112,20 +113,38 @@ class Counts:
         self.three = self.four.reshape(A, A**3).sum(0)
         self.two = self.three.reshape(A, A**2).sum(0)
         self.one = self.two.reshape(A, A).sum(0)
+        self.context = [x.reshape(-1, A).sum(1) for x in (self.four, self.three, self.two, self.one)]
 
-    def estimates(self, code: np.ndarray) -> np.ndarray:
-        """(len(code), 5) estimates of orders 4 to 1 and the uniform one, 0 where the context was not seen."""
-        c3, c2, c1 = code & 0x3FFFF, code & 0xFFF, code & 0x3F
-        context = self.four.reshape(-1, A).sum(1)[code >> 6]
-        before3 = self.three.reshape(-1, A).sum(1)[c3 >> 6]
-        before2 = self.two.reshape(-1, A).sum(1)[c2 >> 6]
-        p = [ratio(self.four[code], context), ratio(self.three[c3], before3), ratio(self.two[c2], before2), ratio(self.one[c1], self.one.sum()), np.full(len(code), 1 / A)]
-        return np.stack(p, 1)
+    def looked_up(self, code: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Counts of each n-gram and of its context, by order from 4 to 1."""
+        low = [code, code & 0x3FFFF, code & 0xFFF, code & 0x3F]
+        return [t[c] for t, c in zip((self.four, self.three, self.two, self.one), low, strict=True)], [t[c >> 6] for t, c in zip(self.context, low, strict=True)]
 
-    def bucket(self, code: np.ndarray) -> np.ndarray:
-        """Power of two of the context's frequency: 0 unseen, 1 once, 2 twice or thrice, and so on."""
-        seen = self.four.reshape(-1, A).sum(1)
-        return np.minimum(np.frexp(seen.astype(np.float64))[1], BUCKETS - 1)[code >> 6]
+
+def estimates(count: list[np.ndarray], context: list[np.ndarray]) -> np.ndarray:
+    """(n-grams, 5): maximum likelihood of orders 4 to 1, 0 where the context was not seen, and the uniform one."""
+    return np.stack([*[ratio(c, t) for c, t in zip(count, context, strict=True)], np.full(len(count[0]), 1 / A)], 1)
+
+
+def bucket(context: list[np.ndarray]) -> np.ndarray:
+    """Power of two of the highest context's frequency: 0 unseen, 1 once, 2 twice or thrice, and so on."""
+    return np.minimum(np.frexp(context[0].astype(np.float64))[1], BUCKETS - 1)
+
+
+def own_counts(row: np.ndarray, code: np.ndarray, n: np.ndarray, rows: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What each text itself has of its n-grams (row, code, times n; sorted) and of their contexts, by order."""
+
+    def by(key: np.ndarray) -> np.ndarray:
+        _, at = np.unique(key, return_inverse=True)
+        return np.bincount(at, weights=n).astype(np.int64)[at]
+
+    def dense(key: np.ndarray, width: int) -> np.ndarray:
+        k = row * width + key
+        return np.bincount(k, weights=n, minlength=rows * width).astype(np.int64)[k]
+
+    count = [n, by((row << 18) | (code & 0x3FFFF)), dense(code & 0xFFF, A**2), dense(code & 0x3F, A)]
+    context = [by((row << 18) | (code >> 6)), dense((code & 0x3FFFF) >> 6, A**2), dense((code & 0xFFF) >> 6, A), dense(np.zeros_like(code), 1)]
+    return count, context
 
 
 def learn(train: Counts, code: np.ndarray, held: np.ndarray, rounds: int) -> np.ndarray:
@@ -133,11 +152,12 @@ def learn(train: Counts, code: np.ndarray, held: np.ndarray, rounds: int) -> np.
     weights = np.full((BUCKETS, ORDER + 1), 1 / (ORDER + 1))
     if not len(code):
         return weights
-    p, bucket = train.estimates(code), train.bucket(code)
+    count, context = train.looked_up(code)
+    p, b_ = estimates(count, context), bucket(context)
     for _ in range(rounds):
-        share = p * weights[bucket]
+        share = p * weights[b_]
         share *= (held / share.sum(1))[:, None]
-        total = np.stack([np.bincount(bucket, weights=share[:, k], minlength=BUCKETS) for k in range(ORDER + 1)], 1)
+        total = np.stack([np.bincount(b_, weights=share[:, k], minlength=BUCKETS) for k in range(ORDER + 1)], 1)
         some = total.sum(1) > 0
         # The uniform estimate never quite vanishes, so that no symbol is impossible.
         weights[some] = (total[some] + 1e-6) / (total[some] + 1e-6).sum(1, keepdims=True)
@@ -147,27 +167,38 @@ def learn(train: Counts, code: np.ndarray, held: np.ndarray, rounds: int) -> np.
     return weights
 
 
-def fit(docs: DataFrame, s: Settings = Settings()) -> np.ndarray:
-    """Bits of each n-gram: minus log2 of its last symbol's probability after the others."""
+def fit(docs: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-gram codes, their counts over all documents, and the mixture weights."""
     got = counts(docs, s).toArrow()
     code, n, held = (got[c].to_numpy().astype(np.int64) for c in ("code", "n", "held"))
     some = held > 0
-    weights = learn(Counts(code, n - held), code[some], held[some], s.rounds)
-    return table_of(Counts(code, n), weights)
+    return code.astype(np.int32), n, learn(Counts(code, n - held), code[some], held[some], s.rounds)
+
+
+_LOADED: dict[str, Counts] = {}
+
+
+def loaded(key: str, code: np.ndarray, n: np.ndarray) -> Counts:
+    """The dense counts of the broadcast of this name, made once in a worker."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Counts(code, n)
+    return _LOADED[key]
 
 
-def table_of(every: Counts, weights: np.ndarray) -> np.ndarray:
-    out = np.empty(A**4, np.float32)
-    three = every.three.reshape(-1, A)
-    two = every.two.reshape(-1, A)
-    p3, p2, p1 = ratio(three, three.sum(1, keepdims=True)), ratio(two, two.sum(1, keepdims=True)), ratio(every.one, every.one.sum())
-    for first in range(A):
-        four = every.four[first * A**3 : (first + 1) * A**3].reshape(-1, A)
-        total = four.sum(1)
-        w = weights[np.minimum(np.frexp(total.astype(np.float64))[1], BUCKETS - 1)]
-        p = w[:, 0:1] * ratio(four, total[:, None]) + w[:, 1:2] * p3 + w[:, 2:3] * np.tile(p2, (A, 1)) + w[:, 3:4] * p1[None, :] + w[:, 4:5] / A
-        out[first * A**3 : (first + 1) * A**3] = -np.log2(np.maximum(p, 1e-30)).ravel()
-    return out
+def bits_of(code: np.ndarray, off: np.ndarray, every: Counts, weights: np.ndarray) -> np.ndarray:
+    """Bits of each text, by the counts of all others."""
+    rows = len(off) - 1
+    row = np.repeat(np.arange(rows), np.diff(off))
+    key, n = np.unique((row << 24) | code, return_counts=True)
+    row, code = key >> 24, key & 0xFFFFFF
+    count, context = every.looked_up(code)
+    mine, mine_context = own_counts(row, code, n, rows)
+    count = [np.maximum(c - m, 0) for c, m in zip(count, mine, strict=True)]
+    context = [np.maximum(c - m, 0) for c, m in zip(context, mine_context, strict=True)]
+    p = (estimates(count, context) * weights[bucket(context)]).sum(1)
+    # Where a bucket trusts estimates that are all zero here, the uniform one remains.
+    return np.bincount(row, weights=-n * np.log2(np.maximum(p, 1e-9)), minlength=rows)
 
 
 def apply(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -176,19 +207,18 @@ def apply(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     A null or empty text has 0 symbols, 0 bits and a null rate. Repeated rows have equal scores, and count as often as
     they occur; null ids stay null. An empty table gives an empty result. Other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, s))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *fit(docs, s)))
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        name, code, n, weights = shared.value
         c, off = codes(batch.column(1))
-        total = np.zeros(len(c) + 1)
-        np.cumsum(shared.value[c], dtype=np.float64, out=total[1:])
-        n = np.diff(off)
-        bits = np.round(total[off[1:]] - total[off[:-1]], 3)
-        rate = pa.array(np.round(bits / np.maximum(n, 1), 6), mask=n == 0)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(bits), rate], ["doc_id", "symbols", "bits", "bits_per_symbol"])
+        length = np.diff(off)
+        bits = np.round(bits_of(c, off, loaded(name, code, n), weights), 3)
+        rate = pa.array(np.round(bits / np.maximum(length, 1), 6), mask=length == 0)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(length), pa.array(bits), rate], ["doc_id", "symbols", "bits", "bits_per_symbol"])
 
     schema = "doc_id bigint, symbols bigint, bits double, bits_per_symbol double"
-    return map_batches(pick(docs, doc_id="doc_id", text="text"), f, schema, 500)
+    return map_batches(pick(docs, doc_id="doc_id", text="text"), f, schema, 200)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
