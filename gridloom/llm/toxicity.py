@@ -36,7 +36,7 @@ class Settings:
 
     train_rows: int = 16_000
     min_docs: int = 4
-    l1: float = 2.0
+    l1: float = 0.5
     counterfactual: float = 1.0
     rounds: int = 150
     threshold: float = 0.5
