@@ -52,6 +52,10 @@ class Model:
     epoch: int = 0
     max_norm: float = 0.0
 
+    def __getstate__(self) -> dict:
+        """What a task needs: no gradients or moments, and nothing that was hung on the model by a session."""
+        return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__} | {"gradients": {}, "moments": {}}
+
     # -- building ---------------------------------------------------------------------------------------------------
 
     @property
