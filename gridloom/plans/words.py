@@ -833,7 +833,10 @@ class Machine:
     # -- models -----------------------------------------------------------------------------------------------------------
 
     def model(self) -> Model:
-        return next(x for x in reversed(self.ss) if isinstance(x, Model))
+        found = next((x for x in reversed(self.ss) if isinstance(x, Model)), None)
+        if found is None:
+            raise IndexError("no model on the stack")
+        return found
 
     def as_samples(self, x: Any, m: Model) -> DataFrame:
         """(id, x, t) of a tensor, one sample for each n, or of a feed's batch with its labels one-hot."""
