@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalar as S
@@ -22,7 +22,9 @@ def _sql(**columns: str) -> str:
     return "SELECT l_orderkey, l_linenumber, " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + " FROM lineitem"
 
 
-q, p, dsc, tax = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
+def _columns() -> tuple[Column, Column, Column, Column]:
+    """Quantity, price, discount and tax; made on use, as columns need a session."""
+    return F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
 
 
 @query(
@@ -34,6 +36,7 @@ q, p, dsc, tax = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discoun
     ),
 )
 def scalar_arith(spark: SparkSession, d: str) -> DataFrame:
+    q, p, dsc, tax = _columns()
     return _line(
         spark, d, added=S.tidy(q + tax), taken=S.tidy(q - tax), product=S.tidy(p * dsc), quotient=S.tidy(p / q, 8), negated=-q, absolute=S.tidy(F.abs(dsc - 0.05)),
         doubled=S.tidy(p * 2), halved=S.tidy(p / 2), more=q + 1, less=q - 1, largest=S.tidy(F.greatest(tax, dsc)), smallest=S.tidy(F.least(tax, dsc)),
@@ -51,6 +54,7 @@ _I, _J = "CAST(trunc(l_quantity) AS INTEGER)", "CAST(trunc(l_extendedprice) AS I
     ),
 )
 def scalar_intbits(spark: SparkSession, d: str) -> DataFrame:
+    q, p, _, _ = _columns()
     return _line(
         spark, d, both=S.bit_and(q, p), either=S.bit_or(q, p), one=S.bit_xor(q, p), inverted=S.invert(q), right_=S.rshift(p, 3), left_=S.lshift(q, 4),
         below=S.flag(S.unsigned(q) < S.unsigned(p)),
@@ -65,6 +69,7 @@ def scalar_intbits(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def scalar_mod_family(spark: SparkSession, d: str) -> DataFrame:
+    q, p, _, _ = _columns()
     rest, ratio = S.divmod_plain(p, q)
     product, floored = S.muldivmod(p, q, 1000.0)
     return _line(
@@ -75,6 +80,7 @@ def scalar_mod_family(spark: SparkSession, d: str) -> DataFrame:
 
 @query("scalar_round_family", _sql(rounded="round(l_extendedprice / 7)", up="ceil(l_extendedprice / 7)", down="floor(l_extendedprice / 7)", cut="CAST(trunc(l_extendedprice / 7) AS INTEGER)", minus="-round(l_extendedprice / 7)"))
 def scalar_round_family(spark: SparkSession, d: str) -> DataFrame:
+    _, p, _, _ = _columns()
     x = p / 7
     return _line(spark, d, rounded=S.half_away(x), up=F.ceil(x).cast("double"), down=F.floor(x).cast("double"), cut=S.integer(x), minus=S.half_away(-x))
 
@@ -88,6 +94,7 @@ def scalar_round_family(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def scalar_trig_log(spark: SparkSession, d: str) -> DataFrame:
+    q, p, dsc, tax = _columns()
     return _line(
         spark, d, e=S.tidy(F.exp(-dsc * 10)), th=S.tidy(F.tanh(dsc * 10)), sg=S.tidy(S.sigmoid(dsc * 10)), root=S.tidy(S.root(q)), inverse=S.tidy(1 / q), clamped=S.tidy(S.sat(q / 20)),
         nat=S.tidy(S.ln(p)), dec=S.tidy(S.log10(tax)), zeroed=S.tidy(S.ln_scalar(tax)), si=S.tidy(F.sin(q)), co=S.tidy(F.cos(q)), power=S.tidy(F.pow(q, F.lit(1.5))), pi=S.tidy(q * 3.1415927),
@@ -103,6 +110,7 @@ def scalar_trig_log(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def scalar_compare_eps(spark: SparkSession, d: str) -> DataFrame:
+    _, _, dsc, tax = _columns()
     return _line(
         spark, d, eq=S.flag(S.equal(tax, dsc)), lt=S.flag(S.less(tax, dsc)), gt=S.flag(S.greater(tax, dsc)), ne=S.flag(~S.equal(tax, dsc)), ge=S.flag(~S.less(tax, dsc)),
         le=S.flag(~S.greater(tax, dsc)), zero=S.flag(S.equal(tax, 0.0)),
@@ -181,17 +189,20 @@ def fill_random(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT {r6('sum(l_quantity)')} AS total, {r6('avg(l_quantity)')} AS mean, {r6('stddev_pop(l_quantity)')} AS sd, round(sqrt(sum(l_quantity * l_quantity)), 4) + 0.0 AS norm FROM lineitem",
 )
 def red_sum_avg_std_norm(spark: SparkSession, d: str) -> DataFrame:
+    q, _, _, _ = _columns()
     return table(spark, d, "lineitem").agg(S.tidy(F.sum(q)).alias("total"), S.tidy(F.avg(q)).alias("mean"), S.tidy(F.stddev_pop(q)).alias("sd"), S.tidy(F.sqrt(F.sum(q * q)), 4).alias("norm"))
 
 
 @query("red_min_max", "SELECT min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem")
 def red_min_max(spark: SparkSession, d: str) -> DataFrame:
+    _, p, _, _ = _columns()
     return table(spark, d, "lineitem").agg(F.min(p).alias("least"), F.max(p).alias("most"))
 
 
 @query("red_std_ref", "SELECT round(sqrt(sum((l_quantity - m) * (l_quantity - m))) / count(*), 9) + 0.0 AS sd FROM lineitem, (SELECT avg(l_quantity) AS m FROM lineitem)")
 def red_std_ref(spark: SparkSession, d: str) -> DataFrame:
     """The root is taken before the division by n: the population deviation over the root of n."""
+    q, _, _, _ = _columns()
     return table(spark, d, "lineitem").agg(S.tidy(F.stddev_pop(q) / F.sqrt(F.count("*")), 9).alias("sd"))
 
 
@@ -222,5 +233,6 @@ def histo_30(spark: SparkSession, d: str) -> DataFrame:
 @query("nan_inf_count", "SELECT count(*) FILTER (l_quantity % 10 = 0) AS nans, count(*) FILTER (l_quantity % 10 = 1) AS infs, count(*) AS n FROM lineitem")
 def nan_inf_count(spark: SparkSession, d: str) -> DataFrame:
     """Every tenth quantity spoilt in either way, and found again."""
+    q, _, _, _ = _columns()
     bad = F.when(q % 10 == 0, F.lit(float("nan"))).when(q % 10 == 1, F.lit(float("inf"))).otherwise(q)
     return table(spark, d, "lineitem").select(bad.alias("v")).agg(F.count_if(S.broken(F.col("v")) & F.isnan("v")).alias("nans"), F.count_if(S.broken(F.col("v")) & ~F.isnan("v")).alias("infs"), F.count("*").alias("n"))
