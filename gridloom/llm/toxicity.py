@@ -97,19 +97,26 @@ def _swaps(named: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> dict[tuple
 
 def train(texts: list[str | None], toxic: list[int], s: Settings = Settings()) -> Model:
     """As train_on, from texts."""
-    words, named = features(pa.array(texts, pa.string()), s)
-    return train_on(words, named, np.array(toxic, np.float64), s)
+    words, named = (_joined(pa.chunked_array([c])) for c in features(pa.array(texts, pa.string()), s))
+    return train_on(*words, named[0], np.array(toxic, np.float64), s)
 
 
-def train_on(words: pa.ListArray, named: pa.ListArray, y: np.ndarray, s: Settings) -> Model:
-    """Proximal gradient descent with momentum. Without a toxic or without a clean row, nothing is toxic."""
+def train_on(words: np.ndarray, sizes: np.ndarray, named: np.ndarray, y: np.ndarray, s: Settings) -> Model:
+    """From the rows' word hashes one after another and their numbers, and all identity terms of all sentences.
+
+    Proximal gradient descent with momentum. Without a toxic or without a clean row, nothing is toxic."""
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, B.U64), np.zeros(0), -20.0)
-    sizes = np.diff(words.offsets.to_numpy())
-    vocabulary, index, docs = np.unique(words.flatten().to_numpy().view(B.U64), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
-    # Every identity term stays, or its swap could not be charged.
+    # Most words are rare and go before they are sorted: those whose hash prefix is rare are.
+    often = np.bincount((words >> B.U64(42)).view(np.int64), minlength=1 << 22) >= s.min_docs
     terms = np.array([word_hash(t) for g in s.identity for t in g], B.U64)
+    some = often[(words >> B.U64(42)).view(np.int64)] | np.isin(words, terms)
+    words, row = words[some], row[some]
+    del often, some
+    vocabulary, index, docs = np.unique(words, return_inverse=True, return_counts=True)
+    del words
+    # Every identity term stays, or its swap could not be charged.
     kept = (docs >= s.min_docs) | np.isin(vocabulary, terms)
     renumber = (np.cumsum(kept) - 1).astype(np.int32)
     use = kept[index]
@@ -119,7 +126,7 @@ def train_on(words: pa.ListArray, named: pa.ListArray, y: np.ndarray, s: Setting
     if not d:
         return Model(np.zeros(0, B.U64), np.zeros(0), -20.0)
     known = {int(h) for h in vocabulary[np.isin(vocabulary, terms)]}
-    pairs = [((a, b), c) for (a, b), c in _swaps(named.flatten().to_numpy().view(B.U64), s.identity).items() if a in known]
+    pairs = [((a, b), c) for (a, b), c in _swaps(named, s.identity).items() if a in known]
     left = np.searchsorted(vocabulary, np.array([a for (a, _), _ in pairs], B.U64))
     # A term that no labelled row has weighs nothing: the swap is charged against zero.
     other = np.array([b in known for (_, b), _ in pairs], bool)
@@ -188,10 +195,17 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *features(batch.column(2), s)], ["doc_id", "toxic", "words", "named"])
 
     got = map_batches(joined, f, "doc_id bigint, toxic int, words array<bigint>, named array<bigint>", 1000).toArrow()
-    got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy(), kind="stable"))).combine_chunks()
     y = got["toxic"].to_numpy().astype(np.float64)
-    words, named = (got[c].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64())) for c in ("words", "named"))
-    return train_on(words, named, y, s)
+    words, sizes = _joined(got["words"])
+    named, _ = _joined(got["named"])
+    del got
+    return train_on(words, sizes, named, y, s)
+
+
+def _joined(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of a list column one after another, and how many each row has."""
+    parts = [(c.flatten().to_numpy().view(B.U64), np.diff(c.offsets.to_numpy())) for c in lists.chunks]
+    return np.concatenate([p[0] for p in parts] or [np.zeros(0, B.U64)]), np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int32)])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
