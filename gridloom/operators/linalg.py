@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_SIDE = 4096
@@ -179,3 +179,57 @@ def block_matmul(a: DataFrame, b: DataFrame, side: int = 256) -> DataFrame:
 
 def _pair(cells: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     return cells.field(0).to_numpy(), cells.field(1).to_numpy()
+
+
+TILE = "bi int, bj int, tile array<double>"
+
+
+def dense_tiles(spark: SparkSession, h: int, w: int, side: int, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(bi, bj, tile) of the h x w matrix f(i, j), made where the tiles will be; edge tiles are padded with zeros."""
+    across = -(-w // side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                bi, bj = divmod(t, across)
+                i, j = np.indices((side, side))
+                i, j = i + bi * side, j + bj * side
+                yield _tile_row(bi, bj, np.where((i < h) & (j < w), f(i, j), 0.0))
+
+    n = across * -(-h // side)
+    return spark.range(0, n, 1, min(n, spark.sparkContext.defaultParallelism)).mapInArrow(run, TILE)
+
+
+def _tile_row(bi: int, bj: int, m: np.ndarray) -> pa.RecordBatch:
+    values = pa.ListArray.from_arrays(pa.array([0, m.size], pa.int32()), pa.array(np.ascontiguousarray(m, float).ravel()))
+    return pa.RecordBatch.from_arrays([pa.array([bi], pa.int32()), pa.array([bj], pa.int32()), values], ["bi", "bj", "tile"])
+
+
+def tile_matmul(a: DataFrame, b: DataFrame, side: int) -> DataFrame:
+    """Product of two tiled matrices, tiled: pairs of tiles move to their output tile and are added up as they come."""
+    left = a.select("bi", F.col("bj").alias("bk"), F.col("tile").alias("x"))
+    right = b.select(F.col("bi").alias("bk"), "bj", F.col("tile").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for batch in batches:
+            bi, bj = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for r in range(batch.num_rows):
+                if (bi[r], bj[r]) != at:
+                    if at is not None:
+                        yield _tile_row(*at, total)
+                    at, total = (bi[r], bj[r]), np.zeros((side, side))
+                x, y = (batch.column(c)[r].values.to_numpy().reshape(side, side) for c in (2, 3))
+                total += x @ y
+        if at is not None:
+            yield _tile_row(*at, total)
+
+    pairs = left.join(right, "bk").select("bi", "bj", "x", "y")
+    return pairs.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(run, TILE)
+
+
+def untiled(t: DataFrame, h: int, w: int, side: int) -> DataFrame:
+    """(i, j, v) of a tiled matrix."""
+    cells = t.select("bi", "bj", F.posexplode("tile").alias("k", "v"))
+    i, j = F.expr(f"bi * {side} + k div {side}").cast("int"), F.expr(f"bj * {side} + k % {side}").cast("int")
+    return cells.select(i.alias("i"), j.alias("j"), "v").where((F.col("i") < h) & (F.col("j") < w))

@@ -95,6 +95,20 @@ def matmul_blocks(spark: SparkSession, d: str) -> DataFrame:
     return out(linalg.block_matmul(coo.transpose(a), a, 64))
 
 
+def pattern(a: int, b: int):
+    return lambda i, j: ((i * a + j * b) % 101 - 50) / 50.0
+
+
+@query(
+    "matmul_tiles",
+    f"WITH a AS (SELECT i, k, ((i * 31 + k * 17) % 101 - 50) / 50.0::DOUBLE AS v FROM range(100) r(i), range(130) s(k)), b AS (SELECT k, j, ((k * 13 + j * 7) % 101 - 50) / 50.0::DOUBLE AS v FROM range(130) r(k), range(70) s(j)) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {r6('sum(a.v * b.v)')} AS v FROM a JOIN b USING (k) GROUP BY i, j",
+)
+def matmul_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Dense tiles, with edges that don't fill theirs."""
+    a, b = linalg.dense_tiles(spark, 100, 130, 32, pattern(31, 17)), linalg.dense_tiles(spark, 130, 70, 32, pattern(13, 7))
+    return out(linalg.untiled(linalg.tile_matmul(a, b, 32), 100, 70, 32))
+
+
 @query("matvec", f"WITH {E} SELECT CAST(vec_id AS INTEGER) AS i, {r6('sum(v * ((k % 5) - 2))')} AS v FROM e GROUP BY vec_id")
 def matvec(spark: SparkSession, d: str) -> DataFrame:
     return out(coo.matvec(rows20(spark, d, 1 << 30), coo.vector(spark, [k % 5 - 2 for k in range(WIDTH)])))
