@@ -34,11 +34,15 @@ from gridloom.llm.common import col, map_batches, map_named, pick, table
 
 @dataclass(frozen=True)
 class Settings:
-    """min_words: shortest passage; k: words hashed; window: hashes of which the least marks a suffix."""
+    """min_words: shortest passage; k: words hashed; window: hashes of which the least marks a suffix.
+
+    run: suffixes of a sorted run, about; a task with more sends several, so that its memory is bounded.
+    """
 
     min_words: int = 50
     k: int = 16
     window: int = 32
+    run: int = 200_000
 
     def __post_init__(self) -> None:
         if self.window + self.k - 1 > self.min_words:
@@ -235,12 +239,20 @@ def shared_spans(docs: DataFrame, s: Settings) -> DataFrame:
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records: list[tuple] = []
+        done = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            coded = run_of(records)
+            for lo in range(0, len(coded), 20_000):
+                yield run_batch(coded[lo : lo + 20_000], done, lo, parts)
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 records += suffix_records(batch.slice(lo, 500), s)
-        coded = run_of(records)
-        for lo in range(0, len(coded), 20_000):
-            yield run_batch(coded[lo : lo + 20_000], lo, parts)
+                if len(records) >= s.run:
+                    yield from flush()
+                    records, done = [], done + 1
+        yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in by_part(batches):
@@ -248,8 +260,8 @@ def shared_spans(docs: DataFrame, s: Settings) -> DataFrame:
 
     joined = rows.join(wanted, "rid").select("rid", "doc_id", "text", "at")
     sent = joined.mapInArrow(runs, RUN_SCHEMA)
-    # One partition per range of the hash: part is also the range, so a plain hash exchange balances them.
-    ranged = sent.repartition("part").sortWithinPartitions("part", "run", "seq")
+    # One partition for each range of the hash, which are of equal size: hashing their numbers would put several in one.
+    ranged = sent.repartitionById(parts, "part").sortWithinPartitions("part", "run", "seq")
     return ranged.mapInArrow(merge, "rid bigint, doc_id bigint, first_doc_id bigint, cut boolean, start int, end int")
 
 
@@ -277,12 +289,12 @@ def suffix_records(batch: pa.RecordBatch, s: Settings) -> list[tuple]:
     return out
 
 
-def run_batch(coded: list[tuple], at: int, parts: int) -> pa.RecordBatch:
+def run_batch(coded: list[tuple], number: int, at: int, parts: int) -> pa.RecordBatch:
     """Rows of RUN_SCHEMA. The first key of a batch, and of a part, is sent whole."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
-    run = (context.stageId() << 40) + (context.partitionId() << 8) if context else 0
+    run = ((context.partitionId() if context else 0) << 24) + number
     shared, rest, lshared, lrest, part = [], [], [], [], []
     last, last_left, last_part = b"", b"", -1
     for n, r, m, l, *_ in coded:
