@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bytesnp as B
-from gridloom.llm.common import map_batches, pick, table
+from gridloom.llm.common import cut, map_batches, pick, table
 
 BLANK = 32
+#: Most ids (16 bytes each, with a short name) that are broadcast.
+BROADCAST_ROWS = 200_000
 _LETTER: list[np.ndarray] = []
 
 
@@ -91,7 +93,10 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> dict[str, np.ndarray]:
     rows = pick(docs, doc_id="doc_id", text="text", lang="lang").where("doc_id is not null and text is not null and lang is not null")
     mixed = "(pmod(doc_id, 2147483648) * 1103515245 + 12345) % 2147483647"
     chosen = rows.select("doc_id", "lang").distinct().selectExpr("*", f"row_number() over (partition by lang order by {mixed}, doc_id) as n")
-    got = rows.join(chosen.where(F.col("n") <= s.docs_per_language).drop("n"), ["doc_id", "lang"]).select("lang", "text").toArrow()
+    chosen = cut(chosen.where(F.col("n") <= s.docs_per_language).drop("n"))
+    # A few hundred ids for each language: broadcast, so that no text is shuffled, as long as there are so few.
+    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    got = rows.join(side, ["doc_id", "lang"]).select("lang", "text").toArrow()
     found = {}
     for lang in sorted(set(got["lang"].to_pylist())):
         points, off = code_points(got.filter(pc.equal(got["lang"], lang))["text"].combine_chunks())
