@@ -29,6 +29,7 @@ class Settings:
     columns: tuple[str, ...] = ("source", "lang", "n_chars")
     bits: int = 6
     target_bytes: int = 32 << 20
+    max_partitions: int = 100_000
 
 
 def hilbert(coordinates: np.ndarray, bits: int) -> np.ndarray:
@@ -85,8 +86,8 @@ def spread() -> Column:
     return F.expr("pmod(coalesce(doc_id, 0), 2147483648) * 1103515245 % 2147483647")
 
 
-def place(docs: DataFrame, s: Settings) -> DataFrame:
-    """docs with columns curve_index and shard_id, not yet moved."""
+def place(docs: DataFrame, s: Settings) -> tuple[DataFrame, int]:
+    """docs with columns curve_index and shard_id, not yet moved; and how many shards there are."""
     d = len(s.columns)
     if s.bits * d > 40:
         raise ValueError("too many cells")
@@ -111,22 +112,26 @@ def place(docs: DataFrame, s: Settings) -> DataFrame:
             f"greatest(1, cast(round(bytes / cast({s.target_bytes} as double)) as bigint)) as __k",
         )
     )
+    total = runs.agg(F.sum("__bytes")).first()[0] or 0
     # Cells don't grow with the rows; beyond the bound Spark chooses the join.
     side = F.broadcast(runs) if 1 << (s.bits * d) <= BROADCAST_CELLS else runs
     joined = docs.select(*[col(c) for c in own], packed.alias("__cell"), spread().alias("__spread")).join(side, "__cell")
     part = F.expr("(2 * (__spread % __k) + 1) * __bytes div (2 * __k)")
     joined = joined.withColumn("__at", F.col("__start") + part)
-    return joined.select(*[col(c) for c in own], "curve_index", F.expr(f"__at div {s.target_bytes}").alias("shard_id"))
+    return joined.select(*[col(c) for c in own], "curve_index", F.expr(f"__at div {s.target_bytes}").alias("shard_id")), total // s.target_bytes + 1
 
 
 def apply(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs, all rows and columns, with curve_index and shard_id: each shard in one partition, in curve order within.
 
-    Columns of these two names in docs are replaced. Nulls of a dimension have the least code, and null texts no bytes;
-    rows with equal dimensions share a cell, repeated rows too. An empty table gives an empty result.
+    A partition holds one shard, or a run of them where there are more than max_partitions. Columns of these two names
+    in docs are replaced. Nulls of a dimension have the least code, and null texts no bytes; rows with equal dimensions
+    share a cell, repeated rows too. An empty table gives an empty result.
     """
-    placed = place(docs, s)
-    return placed.repartition("shard_id").sortWithinPartitions("shard_id", "curve_index", *([col("doc_id")] if "doc_id" in placed.columns else []))
+    placed, shards = place(docs, s)
+    n = min(shards, s.max_partitions)
+    moved = placed.repartitionById(n, F.expr(f"cast(shard_id * {n} div {shards} as int)"))
+    return moved.sortWithinPartitions("shard_id", "curve_index", *([col("doc_id")] if "doc_id" in placed.columns else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
