@@ -10,7 +10,6 @@ Lengths are UTF-8 bytes (the tokens of a byte-level model), unless a column has
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd

@@ -36,13 +36,15 @@ from gridloom.llm.common import col, map_batches, map_named, pick, table
 class Settings:
     """min_words: shortest passage; k: words hashed; window: hashes of which the least marks a suffix.
 
-    run: suffixes of a sorted run, about; a task with more sends several, so that its memory is bounded.
+    run: suffixes of a sorted run, about; a task with more sends several, so that its memory is bounded. batch: rows sent
+    at once.
     """
 
     min_words: int = 50
     k: int = 16
     window: int = 32
     run: int = 200_000
+    batch: int = 20_000
 
     def __post_init__(self) -> None:
         if self.window + self.k - 1 > self.min_words:
@@ -242,9 +244,7 @@ def shared_spans(docs: DataFrame, s: Settings) -> DataFrame:
         done = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            coded = run_of(records)
-            for lo in range(0, len(coded), 20_000):
-                yield run_batch(coded[lo : lo + 20_000], done, lo, parts)
+            return run_batches(run_of(records), done, parts, s.batch)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -289,26 +289,28 @@ def suffix_records(batch: pa.RecordBatch, s: Settings) -> list[tuple]:
     return out
 
 
-def run_batch(coded: list[tuple], number: int, at: int, parts: int) -> pa.RecordBatch:
-    """Rows of RUN_SCHEMA. The first key of a batch, and of a part, is sent whole."""
+def run_batches(coded: list[tuple], number: int, parts: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows of RUN_SCHEMA. The first key of a part is sent whole, as its reducer has none before it."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
     run = ((context.partitionId() if context else 0) << 24) + number
-    shared, rest, lshared, lrest, part = [], [], [], [], []
     last, last_left, last_part = b"", b"", -1
-    for n, r, m, l, *_ in coded:
-        key, left = last[:n] + r, last_left[:m] + l
-        now = int.from_bytes(key[:8], "big") * parts >> 63
-        if now != last_part:
-            n = m = 0
-        shared.append(n), rest.append(key[n:]), lshared.append(m), lrest.append(left[m:]), part.append(now)
-        last, last_left, last_part = key, left, now
-    n = len(coded)
-    cols = [pa.array(part, pa.int32()), pa.array([run] * n, pa.int64()), pa.array(range(at, at + n), pa.int32())]
-    cols += [pa.array(shared, pa.int32()), pa.array(rest, pa.binary()), pa.array(lshared, pa.int32()), pa.array(lrest, pa.binary())]
-    cols += [pa.array([c[4 + j] for c in coded], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
-    return pa.RecordBatch.from_arrays(cols, ["part", "run", "seq", "shared", "rest", "lshared", "lrest", "doc_id", "rid", "pos"])
+    for at in range(0, len(coded), rows):
+        some = coded[at : at + rows]
+        shared, rest, lshared, lrest, part = [], [], [], [], []
+        for n, r, m, l, *_ in some:
+            key, left = last[:n] + r, last_left[:m] + l
+            now = int.from_bytes(key[:8], "big") * parts >> 63
+            if now != last_part:
+                n = m = 0
+            shared.append(n), rest.append(key[n:]), lshared.append(m), lrest.append(left[m:]), part.append(now)
+            last, last_left, last_part = key, left, now
+        n = len(some)
+        cols = [pa.array(part, pa.int32()), pa.array([run] * n, pa.int64()), pa.array(range(at, at + n), pa.int32())]
+        cols += [pa.array(shared, pa.int32()), pa.array(rest, pa.binary()), pa.array(lshared, pa.int32()), pa.array(lrest, pa.binary())]
+        cols += [pa.array([c[4 + j] for c in some], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays(cols, ["part", "run", "seq", "shared", "rest", "lshared", "lrest", "doc_id", "rid", "pos"])
 
 
 def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

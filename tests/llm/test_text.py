@@ -322,7 +322,7 @@ def found_spans(df, s):
 def test_spans_match_brute_force(spark, seed):
     """Passages of all lengths around the bound, runs, periods, overlaps and whole copies; several runs a task."""
     rng = random.Random(seed)
-    s = suffixes.Settings(min_words=12, k=4, window=8, run=40 + 60 * seed)
+    s = suffixes.Settings(min_words=12, k=4, window=8, run=40 + 60 * seed, batch=7)
     word = lambda k: f"w{rng.randrange(k)}"
     shared = [[word(40) for _ in range(rng.randrange(8, 40))] for _ in range(6)]
     rows = []
