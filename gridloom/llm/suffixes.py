@@ -165,73 +165,48 @@ def run_of(records: list[tuple]) -> list[tuple]:
     return out
 
 
-def common_words(a: list[bytes], b: list[bytes]) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+def shared_words(a: bytes, b: bytes) -> int:
+    """How many whole words, each followed by a blank, a and b begin with in common."""
+    return a.count(b" ") if a == b else a.count(b" ", 0, shared_prefix(a, b, 0))
 
 
-def running_min(adjacent: np.ndarray, i: int, own: int) -> np.ndarray:
-    """What sorted item i shares with each other one: least of the neighbours' shared lengths between them."""
-    out = np.empty(len(adjacent) + 1, np.int64)
-    out[i] = own
-    out[i + 1 :] = np.minimum.accumulate(adjacent[i:])
-    out[:i] = np.minimum.accumulate(adjacent[:i][::-1])[::-1]
-    return out
+def reaches(s: Settings) -> list[tuple[int, int]]:
+    """(words to the left, words to the right) that make up a passage around a suffix, each side as short as it can be."""
+    by_left = {(a, max(s.min_words - a, s.k)) for a in range(s.left + 1)}
+    return sorted(x for x in by_left | {(max(s.min_words - b, 0), b) for b in range(s.k, s.right + 1)} if x[1] <= s.right)
 
 
-def spans_of(members: list[tuple[bytes, bytes, tuple]], s: Settings) -> Iterator[tuple[tuple, int, int, int, int, tuple]]:
-    """For suffixes of one group in order (right words, left words reversed, key): (key, l, r, cut l, cut r, first key).
+def spans_of(near_right: np.ndarray, near_left: np.ndarray, by_left: np.ndarray, by_age: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """Spans around sorted suffixes: words to the left and right that are shared with any other suffix, and with an older one.
 
-    l and r reach over all passages shared with any other member, cut l and cut r over those shared with an earlier one
-    (-1: none); first key is the earliest member that shares. Members of equal words count as one class.
+    near_right[i] is what suffix i shares with the one before (-1: other group), near_left the same to the left in the
+    order by_left, and by_age the order of age. Two suffixes share a words to the left and b to the right if and only if no
+    neighbour between them shares less, that is if counting such borders gives both the same numbers: one grouping for
+    each reach, of time n log n, and no comparison of pairs. Returned in order of age: left, right, older left, older
+    right (-1: none), and the oldest that shares.
     """
-    classes: dict[tuple[bytes, bytes], list[tuple]] = {}
-    for right, left, key in members:
-        classes.setdefault((right, left), []).append(key)
-    names = list(classes)
-    keys = [sorted(set(classes[n])) for n in names]
-    words = [(r.split(b" ")[:-1], l.split(b" ")[:-1]) for r, l in names]
-    c = len(names)
-    earliest = sorted(range(c), key=lambda i: keys[i][0])
-    age = np.empty(c, np.int64)
-    age[earliest] = np.arange(c)
-    if c > 1:
-        r_near = np.array([common_words(words[i][0], words[i + 1][0]) for i in range(c - 1)])
-        by_left = sorted(range(c), key=lambda i: names[i][1])
-        l_near = np.array([common_words(words[x][1], words[y][1]) for x, y in zip(by_left, by_left[1:], strict=False)])
-        l_place = np.empty(c, np.int64)
-        l_place[by_left] = np.arange(c)
-    for i in range(c):
-        full_r, full_l = len(words[i][0]), len(words[i][1])
-        enough = full_r + full_l >= s.min_words
-        best = (-1, -1, -1, -1)
-        first = keys[i][0]
-        if c > 1 and enough:
-            r = running_min(r_near, i, full_r)
-            l = running_min(l_near, int(l_place[i]), full_l)[l_place]
-            mate = r + l >= s.min_words
-            mate[i] = False
-            older = mate & (age < age[i])
-            if mate.any():
-                best = (int(l[mate].max()), int(r[mate].max()), -1, -1)
-            if older.any():
-                best = (*best[:2], int(l[older].max()), int(r[older].max()))
-                first = keys[int(np.flatnonzero(older)[np.argmin(age[older])])][0]
-        for n, key in enumerate(keys[i]):
-            if n and enough:
-                yield key, full_l, full_r, full_l, full_r, first
-            elif len(keys[i]) > 1 and enough:
-                yield key, full_l, full_r, best[2], best[3], first
-            elif best[0] >= 0:
-                yield key, *best, first
+    n = len(by_age)
+    place = np.arange(n)
+    found = [np.full(n, -1, np.int64) for _ in range(4)]
+    first = place.copy()
+    left = np.empty(n, np.int64)
+    for a, b in reaches(s):
+        left[by_left] = np.cumsum(near_left < a)
+        key = (np.cumsum(near_right < b) * (n + 1) + left)[by_age]
+        _, oldest, group, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        mate = count[group] > 1
+        old = oldest[group] < place
+        for out, some, reach in zip(found, (mate, mate, old, old), (a, b, a, b), strict=True):
+            out[some] = np.maximum(out[some], reach)
+        first = np.where(mate, np.minimum(first, oldest[group]), first)
+    return *found, first
 
 
 def shared_spans(docs: DataFrame, s: Settings) -> DataFrame:
-    """(rid, doc_id, first_doc_id, cut, start, end) around every shared suffix, in words of the row; rows overlap."""
+    """(rid, doc_id, first_doc_id, start, end, cut_start, cut_end) around every shared suffix, in words of the row.
+
+    Rows overlap; cut_start and cut_end are -1 where no earlier occurrence exists.
+    """
     spark = docs.sparkSession
     rows = pick(docs, doc_id="doc_id", text="text").where("text is not null").select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
     hashed = suffix_hashes(rows.select("rid", "text"), s)
@@ -262,7 +237,7 @@ def shared_spans(docs: DataFrame, s: Settings) -> DataFrame:
     sent = joined.mapInArrow(runs, RUN_SCHEMA)
     # One partition for each range of the hash, which are of equal size: hashing their numbers would put several in one.
     ranged = sent.repartitionById(parts, "part").sortWithinPartitions("part", "run", "seq")
-    return ranged.mapInArrow(merge, "rid bigint, doc_id bigint, first_doc_id bigint, cut boolean, start int, end int")
+    return ranged.mapInArrow(merge, "rid bigint, doc_id bigint, first_doc_id bigint, start int, end int, cut_start int, cut_end int")
 
 
 RUN_SCHEMA = "part int, run bigint, seq int, shared int, rest binary, lshared int, lrest binary, doc_id bigint, rid bigint, pos int"
@@ -348,30 +323,57 @@ def merged_spans(t: pa.Table, s: Settings) -> pa.RecordBatch:
         runs[-1][0].append(key)
         runs[-1][1].append(shared[i])
         lefts.append(left)
-    ids, rid, pos = t["doc_id"].to_pylist(), t["rid"].to_pylist(), t["pos"].to_pylist()
-    out: list[tuple] = []
-    group: list[tuple[bytes, bytes, tuple]] = []
-
-    def close() -> None:
-        for (none, doc, r, p), l, n, cl, cn, first in spans_of(group, s) if len(group) > 1 else ():
-            doc = None if none else doc
-            head = None if first[0] else first[1]
-            out.append((r, doc, head, False, p - l, p + n))
-            if cl >= 0:
-                out.append((r, doc, head, True, p - cl, p + cn))
-
+    at, near = [], []
+    same = 0
     for r, i, prefix in merge_runs(runs):
         key = runs[r][0][i]
-        # A group agrees in the hash and in k whole words.
-        if not group or prefix < 8 or key.count(b" ", 8, prefix) < s.k:
-            close()
-            group = []
-        j = base[r] + i
-        group.append((key[8:], lefts[j], (ids[j] is None, ids[j] or 0, rid[j], pos[j])))
-    close()
-    cols = list(zip(*out, strict=True)) or [()] * 6
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["rid", "doc_id", "first_doc_id", "cut", "start", "end"])
+        # A group agrees in the hash and in k whole words, which end at ``same``.
+        if not at or prefix < same:
+            near.append(-1)
+            same = 8
+            for _ in range(s.k):
+                same = key.index(b" ", same) + 1
+        else:
+            near.append(key.count(b" ", 8, prefix))
+        at.append(base[r] + i)
+    at_ = np.array(at, np.int64)
+    near_right = np.array(near, np.int64)
+    rid, pos = t["rid"].to_numpy()[at_], t["pos"].to_numpy()[at_].astype(np.int64)
+    doc = t["doc_id"].combine_chunks().take(pa.array(at_))
+    none, number = doc.is_null().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy()
+    # Rows that repeat id and text are one: of equal suffixes the first stays.
+    order = np.lexsort((pos, rid))
+    twice = np.zeros(len(order), bool)
+    twice[order[1:]] = (rid[order[1:]] == rid[order[:-1]]) & (pos[order[1:]] == pos[order[:-1]])
+    stay = np.flatnonzero(~twice)
+    near_right = np.minimum.reduceat(near_right, np.concatenate([[0], stay[:-1] + 1]))
+    # Groups of one have nothing to share.
+    alone = (near_right < 0) & (np.append(near_right[1:], -1) < 0)
+    near_right, stay = near_right[~alone], stay[~alone]
+    names = ["rid", "doc_id", "first_doc_id", "start", "end", "cut_start", "cut_end"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    if not len(stay):
+        return pa.RecordBatch.from_arrays([pa.array([], k) for k in types], names)
+    rid, pos, none, number, doc = rid[stay], pos[stay], none[stay], number[stay], doc.take(pa.array(stay))
+    here = [lefts[i] for i in at_[stay].tolist()]
+    starts = np.flatnonzero(near_right < 0).tolist()
+    by_left: list[int] = []
+    near_left = np.empty(len(stay), np.int64)
+    for lo, hi in zip(starts, [*starts[1:], len(stay)], strict=True):
+        group = sorted(range(lo, hi), key=here.__getitem__)
+        by_left += group
+        near_left[lo] = -1
+        for k in range(1, len(group)):
+            near_left[lo + k] = shared_words(here[group[k - 1]], here[group[k]])
+    by_age = np.lexsort((pos, rid, number, none))
+    l, r, cut_l, cut_r, first = spans_of(near_right, near_left, np.array(by_left), by_age, s)
+    rid, pos, doc = rid[by_age], pos[by_age], doc.take(pa.array(by_age))
+    hit = np.flatnonzero(l >= 0)
+    older = cut_l >= 0
+    cut_start, cut_end = np.where(older, pos - cut_l, -1), np.where(older, pos + cut_r, -1)
+    cols = [pa.array(rid[hit]), doc.take(pa.array(hit)), doc.take(pa.array(first[hit]))]
+    cols += [pa.array(x[hit].astype(np.int32)) for x in (pos - l, pos + r, cut_start, cut_end)]
+    return pa.RecordBatch.from_arrays(cols, names)
 
 
 def united(rows: list[tuple[int, int, int | None]]) -> list[list]:
@@ -406,9 +408,10 @@ def spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_part(batches):
-            rows = list(zip(t["start"].to_pylist(), t["end"].to_pylist(), t["first_doc_id"].to_pylist(), t["cut"].to_pylist(), strict=True))
-            gone = united([r[:3] for r in rows if r[3]])
-            out = sorted([(*x, True) for x in gone] + [(*x, False) for x in without(united([r[:3] for r in rows if not r[3]]), gone)], key=lambda x: x[:2])
+            first = t["first_doc_id"].to_pylist()
+            whole = united(list(zip(t["start"].to_pylist(), t["end"].to_pylist(), first, strict=True)))
+            gone = united(sorted((x for x in zip(t["cut_start"].to_pylist(), t["cut_end"].to_pylist(), first, strict=True) if x[0] >= 0), key=lambda x: x[:2]))
+            out = sorted([(*x, True) for x in gone] + [(*x, False) for x in without(whole, gone)], key=lambda x: x[:2])
             rid, doc = t["rid"][0], t["doc_id"][0]
             held.extend((rid.as_py(), doc.as_py(), f, c, a, b) for a, b, f, c in out)
             if len(held) >= 20_000:
@@ -424,8 +427,7 @@ def spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["rid", "doc_id", "first_doc_id", "cut", "start", "end"])
 
-    raw = shared_spans(docs, s).select("rid", "doc_id", "first_doc_id", "cut", "start", "end")
-    ordered = raw.repartition("rid").sortWithinPartitions("rid", "start", "end")
+    ordered = shared_spans(docs, s).repartition("rid").sortWithinPartitions("rid", "start", "end")
     return ordered.mapInArrow(tidy, "rid bigint, doc_id bigint, first_doc_id bigint, cut boolean, start int, end int")
 
 
