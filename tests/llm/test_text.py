@@ -268,6 +268,8 @@ def test_recall_against_brute_force(spark):
     df = spark.createDataFrame([tuple(int(x) for x in r.view(np.int64)) for r in f], "f0 bigint, f1 bigint, f2 bigint, f3 bigint")
     got = {(r["a"], r["b"]) for r in simhash.near_pairs(df, s).collect()}
     assert got <= want and len(got) >= 0.9 * len(want)
+    # However many rows are joined at once.
+    assert got == {(r["a"], r["b"]) for r in simhash.near_pairs(df, simhash.Settings(rows=50)).collect()}
 
 
 def test_components(spark):
