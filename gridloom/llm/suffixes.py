@@ -212,7 +212,8 @@ def shared_spans(docs: DataFrame, s: Settings) -> DataFrame:
     hashed = suffix_hashes(rows.select("rid", "text"), s)
     counted = hashed.selectExpr("*", "count(*) over (partition by h) as n").where("n > 1")
     wanted = counted.groupBy("rid").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Small ranges: a reducer holds one in memory, twice as words.
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records: list[tuple] = []
