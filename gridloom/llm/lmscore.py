@@ -1,12 +1,14 @@
-"""Language-model scores by deleted interpolation.
+"""Language-model scores by deleted interpolation, by characters and by words.
 
-A model of characters, folded to 64 symbols, of order four. The maximum-likelihood estimates of orders 4, 3, 2 and 1 and
+The first is a model of characters, folded to 64 symbols, of order four. The maximum-likelihood estimates of orders 4, 3, 2 and 1 and
 the uniform one are mixed by weights that depend on how often the context of three was seen (by powers of two). The
 weights are learned by expectation-maximisation on the counts of held-out documents, against estimates from the others;
 the scores then use the counts of all documents but the one scored: a text must not vouch for itself.
 
 64**4 n-grams bound the table of counts and its broadcast (128 MB), however large the corpus is; what is gathered from
-the corpus are the counts of each task's n-grams, added up by n-gram.
+the corpus are the counts of each task's n-grams, added up by n-gram. It is a model of spelling.
+
+The second, in ``wordlm``, is one of words to order three with the whole vocabulary; its counts grow with the corpus.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import map_batches, pick, table
+from gridloom.llm import wordlm
+from gridloom.llm.common import pick, table
 from gridloom.llm.langid import code_points
 
 A = 64
@@ -33,10 +36,14 @@ _FOLD: list[np.ndarray] = []
 
 @dataclass(frozen=True)
 class Settings:
-    """held_out: one document of so many, by hash, is held out; rounds of expectation-maximisation."""
+    """held_out: one document of so many, by hash, is held out; rounds of expectation-maximisation.
+
+    block: bytes of text whose words are counted and looked up together, about.
+    """
 
     held_out: int = 10
     rounds: int = 25
+    block: int = 8_000_000
 
 
 def fold_table() -> np.ndarray:
@@ -80,6 +87,8 @@ def counts(docs: DataFrame, s: Settings) -> DataFrame:
         return c[start], np.add.reduceat(n, start) if len(start) else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A worker that scored before needs those counts no more.
+        _LOADED.clear()
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -202,23 +211,30 @@ def bits_of(code: np.ndarray, off: np.ndarray, every: Counts, weights: np.ndarra
 
 
 def apply(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, symbols, bits, bits_per_symbol) of every row of docs.
+    """(doc_id, symbols, bits, bits_per_symbol, words, word_bits, bits_per_word) of every row of docs.
 
-    A null or empty text has 0 symbols, 0 bits and a null rate. Repeated rows have equal scores, and count as often as
-    they occur; null ids stay null. An empty table gives an empty result. Other columns are ignored.
+    A null or empty text has 0 symbols, 0 bits and a null rate; so has, of words, a text without any. The word model's
+    bits hold those of the text's end. Repeated rows have equal scores, and count as often as they occur; null ids stay
+    null. An empty table gives an empty result. Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *fit(docs, s)))
 
-    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def spelling(texts: pa.Array) -> list[pa.Array]:
         name, code, n, weights = shared.value
-        c, off = codes(batch.column(1))
+        c, off = codes(texts)
         length = np.diff(off)
         bits = np.round(bits_of(c, off, loaded(name, code, n), weights), 3)
-        rate = pa.array(np.round(bits / np.maximum(length, 1), 6), mask=length == 0)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(length), pa.array(bits), rate], ["doc_id", "symbols", "bits", "bits_per_symbol"])
+        return [pa.array(length), pa.array(bits), pa.array(np.round(bits / np.maximum(length, 1), 6), mask=length == 0)]
+
+    def f(ids: pa.Array, texts: pa.Array, words: np.ndarray, word_bits: np.ndarray) -> pa.Table:
+        parts = [spelling(texts.slice(lo, 200)) for lo in range(0, len(texts), 200)]
+        by_symbol = [pa.chunked_array(x) for x in zip(*parts, strict=True)]
+        word_bits = np.round(word_bits, 3)
+        by_word = [pa.array(words), pa.array(word_bits), pa.array(np.round(word_bits / np.maximum(words, 1), 6), mask=words == 0)]
+        return pa.Table.from_arrays([ids, *by_symbol, *by_word], ["doc_id", "symbols", "bits", "bits_per_symbol", "words", "word_bits", "bits_per_word"])
 
-    schema = "doc_id bigint, symbols bigint, bits double, bits_per_symbol double"
-    return map_batches(pick(docs, doc_id="doc_id", text="text"), f, schema, 200)
+    schema = "doc_id bigint, symbols bigint, bits double, bits_per_symbol double, words bigint, word_bits double, bits_per_word double"
+    return wordlm.scored(pick(docs, doc_id="doc_id", text="text"), f, schema, s.held_out, s.rounds, s.block)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridloom.llm import bytesnp as B
-from gridloom.llm import langid, lmscore, phrases, simhash, suffixes, toxicity
+from gridloom.llm import langid, lmscore, phrases, simhash, suffixes, toxicity, wordlm
 
 TEXTS = ["", "a", " a  b\n", "é é ê", "x" * 300, "one two three one two three", None, "\t\v", "ß.ü,ñ"]
 
@@ -184,6 +184,60 @@ def test_lm_prefers_what_it_saw(spark, sf):
     assert got[10**6] > np.median([v for v in got.values() if v is not None])
 
 
+def test_word_scores_match_brute_force(spark):
+    """By n-grams kept as tuples, and however documents are cut into blocks."""
+    texts = ["the cat sat on the mat", "the dog sat on the log", "A cat, and a dog", "", "zzz", "the the the", " ,. "] * 3 + ["the cat sat"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    # One block is held out whatever its number, so that all documents teach the weights, each by the others' counts.
+    s = lmscore.Settings(held_out=1, rounds=5, block=60)
+    seq = {i: ["<", "<", *t.lower().replace(",", " ").replace(".", " ").split(), ">"] for i, t in enumerate(texts)}
+    seq = {i: x for i, x in seq.items() if len(x) > 3}
+    kinds = len({w for x in seq.values() for w in x} - {"<"})
+
+    def counts(ids):
+        return [Counter(tuple(seq[i][p - k : p + 1]) for i in ids for p in range(2, len(seq[i]))) for k in (2, 1, 0)]
+
+    def contexts(c):
+        out = [Counter(), Counter(), Counter()]
+        for x, y in zip(c, out, strict=True):
+            for g, n in x.items():
+                y[g[:-1]] += n
+        return out
+
+    tokens = {}
+    for i in seq:
+        c = counts(set(seq) - {i})
+        d = contexts(c)
+        for p in range(2, len(seq[i])):
+            gs = [tuple(seq[i][p - k : p + 1]) for k in (2, 1, 0)]
+            tokens.setdefault(i, []).append((d[0][gs[0][:-1]].bit_length(), [x[g] / y[g[:-1]] if y[g[:-1]] else 0.0 for x, y, g in zip(c, d, gs, strict=True)] + [1 / kinds]))
+    weights = {b: [0.25] * 4 for b in range(wordlm.BUCKETS)}
+    for _ in range(s.rounds):
+        total = {}
+        for b, p in (t for ts in tokens.values() for t in ts):
+            parts = [w * (2.0 ** (round(4 * np.log2(x)) / 4) if x and k < 3 else x) for k, (w, x) in enumerate(zip(weights[b], p, strict=True))]
+            for k in range(4):
+                total.setdefault(b, [0.0] * 4)[k] += parts[k] / sum(parts)
+        for b, t in total.items():
+            weights[b] = [(x + 1e-6) / (sum(t) + 4e-6) for x in t]
+    rows = lmscore.apply(docs, s).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ts = tokens.get(r["doc_id"], [])
+        assert r["words"] == max(0, len(ts) - 1) and (r["bits_per_word"] is None) == (not ts)
+        assert r["word_bits"] == pytest.approx(sum(-np.log2(sum(w * x for w, x in zip(weights[b], p, strict=True))) for b, p in ts), abs=2e-3)
+
+
+def test_known_words_in_nonsense_order_cost_more_bits(spark, sf):
+    """Spelling can't tell them apart; the order of words must."""
+    rng = random.Random(11)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' and n_chars between 500 and 5000").select("doc_id", "text").limit(60).collect()
+    shuffled = [(10**6 + r["doc_id"], " ".join(rng.sample(w, len(w)))) for r in rows for w in [r["text"].split()]]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(shuffled, "doc_id bigint, text string"))
+    got = {r["doc_id"]: r["bits_per_word"] for r in lmscore.apply(docs).collect()}
+    assert np.mean([got[10**6 + r["doc_id"]] > got[r["doc_id"]] for r in rows]) > 0.9
+
+
 # -- toxicity
 
 
