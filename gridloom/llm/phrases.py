@@ -110,30 +110,43 @@ def signatures(texts: pa.Array, levels: int) -> tuple[np.ndarray, np.ndarray]:
     return s, first
 
 
+def hierarchy(texts: pa.Array, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(row, level, name) of each text's distinct names of each level, sorted; and the last level as ``signatures`` has it."""
+    data, off = B.batch_bytes(texts)
+    s, first = data.astype(B.U64) + B.U64(1), off
+    found = []
+    for level in range(1, levels + 1):
+        s, first = parse(s, first)
+        row, name = np.repeat(np.arange(len(first) - 1), np.diff(first)), s.view(np.int64)
+        order = np.lexsort((name, row))
+        row, name = row[order], name[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (name[1:] != name[:-1])
+        found.append((row[new], np.full(int(new.sum()), level, np.int8), name[new]))
+    row, level, name = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(row, kind="stable")
+    return row[order], level[order], name[order], (s, first)
+
+
 def apply(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, fingerprint, phrases, signatures) of every row of docs.
+    """(doc_id, fingerprint, phrases, signatures, levels) of every row of docs.
 
-    signatures: the distinct names of the last level's phrases, sorted; phrases: how many there are with repeats;
-    fingerprint: a hash of them all in order, equal for equal texts. A null or empty text has none: null, 0 and an empty
-    list. Repeated rows have equal results; null ids stay null. An empty table gives an empty result. Other columns are
-    ignored.
+    signatures: the distinct names of the phrases of all levels, lowest level first, sorted in each; levels: the level of
+    each, from 1. Two texts share a passage where they share names of a level whose phrases fit into it. phrases: how many
+    the last level has, with repeats; fingerprint: a hash of these in order, equal for equal texts. A null or empty text
+    has none: null, 0 and empty lists. Repeated rows have equal results; null ids stay null. An empty table gives an empty
+    result. Other columns are ignored.
     """
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, first = signatures(batch.column(1), s.levels)
+        row, level, name, (names, first) = hierarchy(batch.column(1), s.levels)
         count = np.diff(first)
-        row = np.repeat(np.arange(len(count)), count)
         whole = B.span_hash(names, first[:-1], first[1:], _BASE, _INVERSE).view(np.int64)
-        signed = names.view(np.int64)
-        order = np.lexsort((signed, row))
-        signed, row = signed[order], row[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (signed[1:] != signed[:-1])
-        lists = list_array(pa.array(signed[new]), np.bincount(row[new], minlength=len(count)))
-        cols = [batch.column(0), pa.array(whole, mask=count == 0), pa.array(count.astype(np.int32)), lists]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "fingerprint", "phrases", "signatures"])
+        each = np.bincount(row, minlength=len(count))
+        cols = [batch.column(0), pa.array(whole, mask=count == 0), pa.array(count.astype(np.int32)), list_array(pa.array(name), each), list_array(pa.array(level), each)]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "fingerprint", "phrases", "signatures", "levels"])
 
-    schema = "doc_id bigint, fingerprint bigint, phrases int, signatures array<bigint>"
+    schema = "doc_id bigint, fingerprint bigint, phrases int, signatures array<bigint>, levels array<tinyint>"
     return map_batches(pick(docs, doc_id="doc_id", text="text"), f, schema, 250)
 
 

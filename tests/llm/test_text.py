@@ -129,6 +129,28 @@ def test_equal_substrings_share_signatures_at_any_offset():
     assert not set(other[: off[1]].tolist()) & set(other[off[1] :].tolist())
 
 
+def test_short_passages_share_signatures_in_the_production_setting(spark):
+    """50 words at random offsets: names of level 4 or higher nearly always, of the sixth level rarely."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randrange(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    texts = []
+    for _ in range(40):
+        common = some(50)
+        texts += [f"{some(rng.randrange(20, 300))} {common} {some(rng.randrange(20, 300))}" for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: set(zip(r["levels"], r["signatures"], strict=True)) for r in phrases.apply(docs).collect()}
+    shared = [max((level for level, _ in got[i] & got[i + 1]), default=0) for i in range(0, len(texts), 2)]
+    assert np.mean([x >= 4 for x in shared]) >= 0.9
+    strangers = [max((level for level, _ in got[i] & got[i + 3]), default=0) for i in range(0, len(texts) - 3, 2)]
+    assert max(strangers) < 4
+    # Each level is whole: it has the names that a parse to that level gives.
+    for level in range(1, phrases.Settings().levels + 1):
+        names, first = phrases.signatures(pa.array(texts), level)
+        for i in got:
+            assert {n for k, n in got[i] if k == level} == set(names[first[i] : first[i + 1]].view(np.int64).tolist())
+
+
 # -- language model
 
 
