@@ -5,8 +5,8 @@ The codes are a cell's coordinates, and a cell's index on the Hilbert curve its
 runs of about ``target_bytes`` along the curve; a cell larger than that is spread over as many shards as it needs.
 A shard's rows lie close together in every column, so that the minima and maxima of its file exclude it from most queries.
 
-Cells are at most 2**(bits * columns), whatever the table's size, so the table of cells may be sorted by one task; rows
-move once, to their shard.
+Cells are at most 2**(bits * columns), whatever the table's size and 2**20 at most, so the table of cells may be sorted by
+one task and broadcast; rows move once, to their shard.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import col, cut, map_batches, table
+from gridloom.llm.common import col, cut, map_batches, table, unused
 
-#: Most cells for which their table (40 bytes a row) is broadcast.
-BROADCAST_CELLS = 1 << 19
+#: Most bits of all columns together: the table of cells (40 bytes a row) is broadcast.
+CELL_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -63,10 +63,15 @@ def hilbert(coordinates: np.ndarray, bits: int) -> np.ndarray:
 def codes(docs: DataFrame, name: str, bits: int) -> Column:
     """The code of column ``name``: which of 2**bits parts of equally many rows its value falls into.
 
-    Only the least value of each code reaches the driver.
+    Distinct values are counted range by range, so that a column of very many needs no single task. Only the least value
+    of each code reaches the driver.
     """
     counts = docs.groupBy(col(name).alias("v")).agg(F.count("*").alias("n"))
-    before = counts.selectExpr("v", "n", "coalesce(sum(n) over (order by v nulls first rows between unbounded preceding and 1 preceding), 0) as b", "sum(n) over () as total")
+    ranged = cut(counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("p")))
+    # One row for each partition.
+    ranges = ranged.groupBy("p").agg(F.sum("n").alias("all")).selectExpr("p", "sum(all) over (order by p) - all as earlier", "sum(all) over () as total")
+    within = "coalesce(sum(n) over (partition by p order by v nulls first rows between unbounded preceding and 1 preceding), 0)"
+    before = ranged.join(F.broadcast(ranges), "p").selectExpr("v", f"earlier + {within} as b", "total")
     coded = before.where("v is not null").selectExpr("v", f"cast(b * {1 << bits} div total as int) as code")
     bounds = coded.groupBy("code").agg(F.min("v").alias("v")).orderBy(F.col("code").desc()).collect()
     if not bounds:
@@ -82,15 +87,17 @@ def size(docs: DataFrame) -> Column:
     return F.coalesce(F.octet_length(col("text")), F.lit(0)).cast("bigint")
 
 
-def spread() -> Column:
-    return F.expr("pmod(coalesce(doc_id, 0), 2147483648) * 1103515245 % 2147483647")
+def spread(docs: DataFrame) -> Column:
+    """A number of 28 bits from a row's id, if there is one, and text, so that rows without an id spread as well."""
+    parts = [F.coalesce(col(c).cast("string"), F.lit("null")) for c in ("doc_id", "text") if c in docs.columns]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 7), 16, 10).cast("bigint")
 
 
 def place(docs: DataFrame, s: Settings) -> tuple[DataFrame, int]:
     """docs with columns curve_index and shard_id, not yet moved; and how many shards there are."""
     d = len(s.columns)
-    if s.bits * d > 40:
-        raise ValueError("too many cells")
+    if s.bits * d > CELL_BITS:
+        raise ValueError(f"more than {CELL_BITS} bits")
     own = [c for c in docs.columns if c.lower() not in ("curve_index", "shard_id")]
     packed: Column = F.lit(0).cast("bigint")
     for name in s.columns:
@@ -103,30 +110,29 @@ def place(docs: DataFrame, s: Settings) -> tuple[DataFrame, int]:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hilbert(at, s.bits))], ["cell", "bytes", "h"])
 
     on_curve = map_batches(cells, index, "cell bigint, bytes bigint, h bigint")
+    cell, number, held, start, pieces, at = unused(docs, "cell", "spread", "bytes", "start", "pieces", "at")
     runs = cut(
         on_curve.selectExpr(
-            "cell as __cell",
+            f"cell as {cell}",
             "h as curve_index",
-            "bytes as __bytes",
-            "coalesce(sum(bytes) over (order by h rows between unbounded preceding and 1 preceding), 0) as __start",
-            f"greatest(1, cast(round(bytes / cast({s.target_bytes} as double)) as bigint)) as __k",
+            f"bytes as {held}",
+            f"coalesce(sum(bytes) over (order by h rows between unbounded preceding and 1 preceding), 0) as {start}",
+            f"greatest(1, cast(round(bytes / cast({s.target_bytes} as double)) as bigint)) as {pieces}",
         )
     )
-    total = runs.agg(F.sum("__bytes")).first()[0] or 0
-    # Cells don't grow with the rows; beyond the bound Spark chooses the join.
-    side = F.broadcast(runs) if 1 << (s.bits * d) <= BROADCAST_CELLS else runs
-    joined = docs.select(*[col(c) for c in own], packed.alias("__cell"), spread().alias("__spread")).join(side, "__cell")
-    part = F.expr("(2 * (__spread % __k) + 1) * __bytes div (2 * __k)")
-    joined = joined.withColumn("__at", F.col("__start") + part)
-    return joined.select(*[col(c) for c in own], "curve_index", F.expr(f"__at div {s.target_bytes}").alias("shard_id")), total // s.target_bytes + 1
+    total = runs.agg(F.sum(held)).first()[0] or 0
+    joined = docs.select(*[col(c) for c in own], packed.alias(cell), spread(docs).alias(number)).join(F.broadcast(runs), cell)
+    joined = joined.withColumn(at, F.expr(f"{start} + (2 * ({number} % {pieces}) + 1) * {held} div (2 * {pieces})"))
+    return joined.select(*[col(c) for c in own], "curve_index", F.expr(f"{at} div {s.target_bytes}").alias("shard_id")), total // s.target_bytes + 1
 
 
 def apply(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs, all rows and columns, with curve_index and shard_id: each shard in one partition, in curve order within.
 
     A partition holds one shard, or a run of them where there are more than max_partitions. Columns of these two names
-    in docs are replaced. Nulls of a dimension have the least code, and null texts no bytes; rows with equal dimensions
-    share a cell, repeated rows too. An empty table gives an empty result.
+    in docs are replaced; others may have any name. Nulls of a dimension have the least code, and null texts no bytes;
+    rows with equal dimensions share a cell. A shard has at most twice target_bytes, but for texts that are longer and for
+    rows that repeat both id and text, which stay together. An empty table gives an empty result.
     """
     placed, shards = place(docs, s)
     n = min(shards, s.max_partitions)
@@ -182,6 +188,6 @@ curve AS (SELECT {", ".join(f"c{i}" for i in range(d))}, bytes, {index} AS h FRO
 runs AS (SELECT *, CAST(coalesce(sum(bytes) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
   greatest(1, CAST(round(bytes / CAST({s.target_bytes} AS DOUBLE)) AS BIGINT)) AS k FROM curve)
 SELECT coded.* EXCLUDE ({", ".join(f"x{i}" for i in range(d))}), CAST(h AS BIGINT) AS curve_index,
-  CAST((start + (2 * (((doc_id % 2147483648) * 1103515245 % 2147483647) % k) + 1) * bytes // (2 * k)) // {s.target_bytes} AS BIGINT) AS shard_id
+  CAST((start + (2 * (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, 'null')), 1, 7) AS BIGINT) % k) + 1) * bytes // (2 * k)) // {s.target_bytes} AS BIGINT) AS shard_id
 FROM coded JOIN runs ON {" AND ".join(f"coded.x{i} = runs.c{i}" for i in range(d))}
 """
