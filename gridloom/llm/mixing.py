@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Rows of a source are ordered by a mixed hash and cut into blocks. Block i (from 1) of a source of weight w is released at
+Rows of a source are ordered by a hash of id and text and cut into blocks. Block i (from 1) of a source of weight w is released at
 slot floor((i-1)/w) and due at ceil(i/w); each slot serves, of the released blocks, the one due first. Weights are
 multiples of 1/cycle that sum to 1, so that the schedule repeats after ``cycle`` slots: it is worked out once, for one
 cycle, and every row finds its slot by arithmetic. At each slot every source is less than one block from its share.
 
-When a source runs out its slots fall away, and the others keep their proportions to each other. No row is left out.
+When a source runs out its slots fall away, and the others keep their proportions to each other. No row is left out. The
+schedule is made in the driver and has at least eight slots for each source, so sources should be thousands, not millions.
 """
 
 from __future__ import annotations
@@ -14,21 +15,22 @@ import heapq
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import col, pick, table
+from gridloom.llm.common import col, table, unused
 
 
 @dataclass(frozen=True)
 class Settings:
-    """weights by source, or None for count**temper; block: rows; cycle: slots (made larger for very many sources)."""
+    """weights by source, or None for count**temper; block: rows; cycle: slots, doubled until there are eight for each
+    source and no source's share is less than one slot."""
 
     weights: Mapping[str | None, float] | None = None
     temper: float = 0.7
     block: int = 16
     cycle: int = 1024
-    buckets: int = 4096
 
 
 def whole_weights(weights: Mapping[str | None, float], cycle: int) -> tuple[dict[str | None, int], int]:
@@ -37,7 +39,8 @@ def whole_weights(weights: Mapping[str | None, float], cycle: int) -> tuple[dict
         return {}, cycle
     if min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
-    while cycle < 8 * len(weights):
+    # The least weight has a slot of its own, up to 2**20 slots; below that it is served too often.
+    while cycle < 8 * len(weights) or cycle * min(weights.values()) < sum(weights.values()) and cycle < 1 << 20:
         cycle *= 2
     names = sorted(weights, key=lambda n: (n is None, n or ""))
     total = sum(weights.values())
@@ -73,34 +76,39 @@ def schedule(slots: Mapping[str | None, int], cycle: int) -> list[tuple[str | No
     return out
 
 
-def _hash() -> Column:
-    return F.xxhash64("doc_id", "th")
+def key() -> Column:
+    """A row's place in its source: 32 hexadecimal digits from id and text."""
+    return F.md5(F.concat_ws(":", F.coalesce(col("doc_id").cast("string"), F.lit("null")), F.coalesce(col("text"), F.lit("null"))))
 
 
-def slots_of(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, th, source, rank, block, slot), a row each; th is the text's hash."""
+def placed(docs: DataFrame, keep: list[str], s: Settings) -> tuple[DataFrame, str, str, str]:
+    """The columns ``keep`` of docs with a rank, a block and a slot, and the names of these three.
+
+    A source is ranked bucket by bucket of the key, so that a hot source needs no single task. Rows of one key are told
+    apart by all that is kept; those that are equal throughout take the places of one another.
+    """
     spark = docs.sparkSession
-    rows = pick(docs, doc_id="doc_id", text="text", source="source").select("doc_id", "source", F.xxhash64("text").alias("th"))
-    # A source is ranked bucket by bucket of the hash, so that a hot source needs no single task.
-    rows = rows.withColumn("h", _hash()).withColumn("bucket", F.pmod("h", F.lit(s.buckets)).cast("int"))
-    counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-    before = counts.selectExpr("source as s2", "bucket as b2", "n", "sum(n) over (partition by source order by bucket) - n as before")
-    by_source = {r["source"]: r["n"] for r in counts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    h, bucket, source, rank, block, slot, before, cycles, turn, start = unused(docs, "h", "bucket", "of_source", "rank", "block", "slot", "before", "per_cycle", "turn", "at_turn")
+    rows = docs.select(*[col(c) for c in keep], col("source").alias(source), key().alias(h)).withColumn(bucket, F.substring(col(h), 1, 3))
+    counts = docs.select(col("source").alias(source), F.substring(key(), 1, 3).alias(bucket)).groupBy(source, bucket).agg(F.count("*").alias("n"))
+    earlier = counts.select(col(source).alias("s2"), col(bucket).alias("b2"), (F.sum("n").over(Window.partitionBy(source).orderBy(bucket)) - F.col("n")).alias(before))
+    by_source = {r[0]: r[1] for r in counts.groupBy(source).agg(F.sum("n").alias("n")).collect()}
     weights = {n: s.weights.get(n, 0) if s.weights is not None else c**s.temper for n, c in by_source.items()}
     missing = [n for n, w in weights.items() if not w > 0]
     if missing:
         raise ValueError(f"sources without a weight: {missing[:5]}")
     share, cycle = whole_weights(weights, s.cycle)
-    plan = spark.createDataFrame([(n, share[n], i, t) for n, i, t in schedule(share, cycle)], "s3 string, share int, i int, t int")
-    shares = plan.select("s3", "share").distinct().withColumnRenamed("s3", "s4").withColumnRenamed("share", "per_cycle")
-    ranked = rows.selectExpr("*", "row_number() over (partition by source, bucket order by h, doc_id, th) as place")
-    ranked = ranked.join(before, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
-    ranked = ranked.select("doc_id", "th", "source", (F.col("before") + F.col("place")).alias("rank"))
-    ranked = ranked.withColumn("block", F.floor((F.col("rank") - 1) / s.block).cast("bigint"))
-    ranked = ranked.join(shares, F.col("source").eqNullSafe(F.col("s4")))
-    ranked = ranked.withColumn("in_cycle", (F.col("block") % F.col("per_cycle")).cast("int"))
-    done = ranked.join(plan, F.col("source").eqNullSafe(F.col("s3")) & (F.col("in_cycle") == F.col("i")))
-    return done.select("doc_id", "th", "source", "rank", "block", (F.floor(F.col("block") / F.col("per_cycle")) * cycle + F.col("t")).cast("bigint").alias("slot"))
+    plan = spark.createDataFrame(pd.DataFrame(schedule(share, cycle), columns=["s3", "i", "t"]).astype({"s3": object}), "s3 string, i int, t int")
+    shares = spark.createDataFrame(pd.DataFrame(list(share.items()), columns=["s4", "n"]).astype({"s4": object}), "s4 string, n int").withColumnRenamed("n", cycles)
+    plan = plan.withColumnRenamed("i", turn).withColumnRenamed("t", start)
+    rest = [F.xxhash64(*[col(c) for c in keep])] if keep else []
+    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(source, bucket).orderBy(h, *rest)))
+    ranked = ranked.join(earlier, col(source).eqNullSafe(F.col("s2")) & (col(bucket) == F.col("b2"))).withColumn(rank, (col(before) + col(rank)).cast("bigint"))
+    ranked = ranked.join(shares, col(source).eqNullSafe(F.col("s4"))).withColumn(block, F.floor((col(rank) - 1) / s.block).cast("bigint"))
+    ranked = ranked.withColumn(turn + "_", (col(block) % col(cycles)).cast("int"))
+    done = ranked.join(plan, col(source).eqNullSafe(F.col("s3")) & (col(turn + "_") == col(turn)))
+    done = done.withColumn(slot, (F.floor(col(block) / col(cycles)) * cycle + col(start)).cast("bigint"))
+    return done.select(*[col(c) for c in keep], col(rank), col(block), col(slot)), rank, block, slot
 
 
 def apply(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -110,22 +118,40 @@ def apply(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     after the other; null ids and texts are ordered by what they have. An empty table gives an empty result. Other
     columns are ignored.
     """
-    return slots_of(docs, s).select("doc_id", "source", "rank", "block", "slot")
+    rows, rank, block, slot = placed(docs, ["doc_id", "source"], s)
+    return rows.select(col("doc_id"), col("source"), col(rank).alias("rank"), col(block).alias("block"), col(slot).alias("slot"))
 
 
 def order(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs, all rows and columns, as partitions in the order of the mix, each sorted.
+    """docs, all rows and columns whatever their names, as partitions in the order of the mix, each sorted.
 
-    Written as Parquet, the part files by number and the rows in each are the mix. Rows that repeat id, text and source
-    stand together, at the first of their places.
+    Written as Parquet, the part files by number and the rows in each are the mix. Every row has its own place, rows that
+    repeat too. Columns of maps can't be ordered and are an error.
     """
-    place = slots_of(docs, s).groupBy("doc_id", "th", "source").agg(F.sort_array(F.collect_list(F.struct("slot", "rank"))).alias("__at"))
-    place = place.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th2"), F.col("source").alias("__source"), "__at")
-    keyed = docs.withColumn("__th", F.xxhash64(col("text")))
-    joined = keyed.join(place, col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__th2")) & col("source").eqNullSafe(F.col("__source")), "left")
-    placed = joined.withColumn("__first", F.col("__at")[0])
-    return placed.repartitionByRange("__first.slot", "__first.rank").sortWithinPartitions("__first.slot", "__first.rank").select(*[col(c) for c in docs.columns])
+    rows, rank, _, slot = placed(docs, docs.columns, s)
+    return rows.repartitionByRange(col(slot), col(rank)).sortWithinPartitions(col(slot), col(rank)).select(*[col(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply(table(spark, sf_dir, "documents"))
+
+
+def sql(s: Settings = Settings()) -> str:
+    """The same for DuckDB, for the default weights and up to cycle / 8 sources: the schedule slot by slot."""
+    released = f"floor(done * {s.cycle} / share) <= t"
+    return f"""
+WITH RECURSIVE n AS (SELECT source, count(*) AS c FROM documents GROUP BY source),
+w AS (SELECT source, pow(c, {s.temper}) / sum(pow(c, {s.temper})) OVER () * {s.cycle} AS exact FROM n),
+f AS (SELECT source, exact, CAST(greatest(1, floor(exact)) AS BIGINT) AS base FROM w),
+shares AS (SELECT source, base + CASE WHEN row_number() OVER (ORDER BY base - exact, source NULLS LAST) <= {s.cycle} - sum(base) OVER () THEN 1 ELSE 0 END AS share FROM f),
+steps AS (
+  SELECT 0 AS t, source, share, CAST(0 AS BIGINT) AS done, false AS served FROM shares
+  UNION ALL
+  SELECT t + 1, source, share, done + CASE WHEN place = 1 THEN 1 ELSE 0 END, place = 1
+  FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN {released} THEN 0 ELSE 1 END, ceil((done + 1) * {s.cycle} / share), source NULLS LAST) AS place FROM steps)
+  WHERE t < {s.cycle}),
+turns AS (SELECT source, share, done - 1 AS turn, t - 1 AS t FROM steps WHERE served),
+ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, 'null'))) AS rank FROM documents)
+SELECT doc_id, r.source, rank, (rank - 1) // {s.block} AS block, CAST((rank - 1) // {s.block} // share * {s.cycle} + t AS BIGINT) AS slot
+FROM ranked r JOIN turns ON r.source IS NOT DISTINCT FROM turns.source AND (rank - 1) // {s.block} % share = turn
+"""

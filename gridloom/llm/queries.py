@@ -22,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: The others train, search, or solve by dynamic programming; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op1_language_id": langid.SQL, "op2_hilbert_sharding": sharding.sql()}
+ORACLES: dict[str, str] = {"op1_language_id": langid.SQL, "op2_hilbert_sharding": sharding.sql(), "op4_mixing": mixing.sql(), "op8_suffix_array": suffixes.sql()}
