@@ -17,6 +17,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _KBASE = 0xD6E8FEB86659FD93
 _KBASE_INV = pow(_KBASE, -1, 1 << 64)
+#: Two independent bases, with their inverses, for hashes of 128 bits.
+BASES = ((_KBASE, _KBASE_INV), (0xA24BAED4963EE407, pow(0xA24BAED4963EE407, -1, 1 << 64)))
 ALL_ONES = U64(0xFFFFFFFFFFFFFFFF)
 
 #: ASCII white space separates words; the same six characters as the class \\s of RE2 and Java, plus vertical tab.

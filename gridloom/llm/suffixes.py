@@ -7,13 +7,17 @@ first occurrence. Words are those between white space, compared byte by byte.
    hashes. The choice depends on the words alone and window + k - 1 <= min_words, so that all occurrences of a passage
    share their suffixes: at least one, the first at most window - 1 words from its begin, the last at most
    window + k - 1 words from its end, none further apart than ``window``.
-2. A suffix whose k words occur once in the table can't share a passage: exact, and it leaves a few suffixes in a hundred.
+2. A suffix whose k words occur once in the table can't share a passage: exact, and it leaves about half of the suffixes.
 3. The rest are sorted by (hash of k words, then words): each task sorts its own into a run, front-codes it (length of the
-   prefix shared with the one before, and what follows), and sends each range of the hash to its reducer. A reducer merges
+   prefix shared with the one before, and what follows), and sends each range of the hash, compressed, to its reducer.
+   Ranges are as many as it takes for ``part`` suffixes each. A reducer merges
    its runs by a loser tree whose nodes remember how much each loser shares with the winner, so no prefix is compared
    twice; the merged order comes with the lengths of all common prefixes, that is a suffix array with its LCP array.
 4. A suffix carries ``right`` words and, in reverse, the ``left`` words before it: enough that the union, over all shared
    suffixes, of what two occurrences share around it is the passage from its first word to its last.
+5. k words that occur more than ``hot`` times would make one range larger than the others, and no sorting by further words
+   splits a passage that all share. Around such suffixes every window of min_words words is grouped by its hash (128
+   bits), added up where it is read first, so that one passage in half of the documents is spread over all tasks.
 
 "First" is the least (doc_id, row, position), null ids last.
 """
@@ -25,26 +29,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bytesnp as B
-from gridloom.llm.common import col, map_batches, map_named, pick, table
+from gridloom.llm.common import col, cut, map_batches, map_named, pick, release, remove, scratch, slices, table, unused
 
 
 @dataclass(frozen=True)
 class Settings:
     """min_words: shortest passage; k: words hashed; window: hashes of which the least marks a suffix.
 
-    run: suffixes of a sorted run, about; a task with more sends several, so that its memory is bounded. batch: rows sent
-    at once.
+    run: suffixes of a sorted run, about; a task with more sends several, so that its memory is bounded. part: suffixes of
+    a reducer, on average, of about 1 KB each; hot: occurrences of k words above which they are counted by windows.
     """
 
     min_words: int = 50
     k: int = 16
     window: int = 32
-    run: int = 200_000
-    batch: int = 20_000
+    run: int = 150_000
+    part: int = 50_000
+    hot: int = 20_000
 
     def __post_init__(self) -> None:
         if self.window + self.k - 1 > self.min_words:
@@ -87,20 +93,10 @@ def suffix_hashes(rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def shared_prefix(a: bytes, b: bytes, known: int) -> int:
-    """Length of the common prefix of a and b, of which the first ``known`` bytes are known to agree."""
+    """Length of the common prefix of a and b, of which the first ``known`` bytes are known to agree and aren't read."""
     end = min(len(a), len(b))
-    step = 32
-    while known < end:
-        n = min(step, end - known)
-        if a[known : known + n] == b[known : known + n]:
-            known += n
-            step *= 2
-        elif n == 1:
-            break
-        else:
-            step = n // 2
-            end = known + n
-    return known
+    # The highest bit in which they differ, as numbers of equally many bytes.
+    return end - ((int.from_bytes(a[known:end]) ^ int.from_bytes(b[known:end])).bit_length() + 7 >> 3)
 
 
 def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, int]]:
@@ -202,91 +198,159 @@ def spans_of(near_right: np.ndarray, near_left: np.ndarray, by_left: np.ndarray,
     return *found, first
 
 
+SPANS = "rid bigint, doc_id bigint, first_doc_id bigint, start int, end int, cut_start int, cut_end int"
+
+
+def repeated(rows: DataFrame, s: Settings) -> DataFrame:
+    """(rid, at, hot), stored: positions of each row's suffixes whose k words occur twice, and of those that are hot.
+
+    Suffixes are written first: they are needed twice, to be counted and to be found again.
+    """
+    spark = rows.sparkSession
+    path = scratch(spark)
+    suffix_hashes(rows.select("rid", "text"), s).write.parquet(path)
+    hashed = spark.read.parquet(path)
+    counts = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    few = F.col("n") <= s.hot
+    found = hashed.join(counts, "h").groupBy("rid").agg(F.sort_array(F.collect_set(F.when(few, F.col("pos")))).alias("at"), F.sort_array(F.collect_set(F.when(~few, F.col("pos")))).alias("hot"))
+    out = cut(found)
+    remove(spark, path)
+    return out
+
+
 def shared_spans(docs: DataFrame, s: Settings) -> DataFrame:
     """(rid, doc_id, first_doc_id, start, end, cut_start, cut_end) around every shared suffix, in words of the row.
 
     Rows overlap; cut_start and cut_end are -1 where no earlier occurrence exists.
     """
-    spark = docs.sparkSession
     rows = pick(docs, doc_id="doc_id", text="text").where("text is not null").select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
-    hashed = suffix_hashes(rows.select("rid", "text"), s)
-    counted = hashed.selectExpr("*", "count(*) over (partition by h) as n").where("n > 1")
-    wanted = counted.groupBy("rid").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    # Small ranges: a reducer holds one in memory, twice as words.
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = repeated(rows, s)
+    release(docs.sparkSession)
+    suffixes, hot = (int(x or 0) for x in wanted.agg(F.sum(F.size("at")), F.sum(F.size("hot"))).first())
+    parts = max(1, -(-suffixes // s.part))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records: list[tuple] = []
         done = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            return run_batches(run_of(records), done, parts, s.batch)
-
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                records += suffix_records(batch.slice(lo, 500), s)
+            for part in slices(batch, 500):
+                records += suffix_records(part, s)
                 if len(records) >= s.run:
-                    yield from flush()
+                    yield run_batch(run_of(records), done, parts)
                     records, done = [], done + 1
-        yield from flush()
+        yield run_batch(run_of(records), done, parts)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in by_part(batches):
             yield merged_spans(held, s)
 
-    joined = rows.join(wanted, "rid").select("rid", "doc_id", "text", "at")
+    joined = rows.join(wanted, "rid").select("rid", "doc_id", "text", "at", "hot")
     sent = joined.mapInArrow(runs, RUN_SCHEMA)
     # One partition for each range of the hash, which are of equal size: hashing their numbers would put several in one.
-    ranged = sent.repartitionById(parts, "part").sortWithinPartitions("part", "run", "seq")
-    return ranged.mapInArrow(merge, "rid bigint, doc_id bigint, first_doc_id bigint, start int, end int, cut_start int, cut_end int")
+    found = sent.repartitionById(parts, "part").sortWithinPartitions("part", "run").mapInArrow(merge, SPANS)
+    return found.union(hot_spans(joined.where("size(hot) > 0"), s)) if hot else found
+
+
+def hot_spans(joined: DataFrame, s: Settings) -> DataFrame:
+    """As shared_spans, a row for each window of min_words words around a hot suffix that occurs twice."""
 
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w = B.split_words(batch.column(2))
+        starts, row = [], []
+        for i, at in enumerate(batch.column(4).to_pylist()):
+            a, b = int(w.first[i]), int(w.first[i + 1])
+            first = np.unique((a + np.array(at, np.int64)[:, None] - np.arange(s.min_words - s.k + 1)).ravel())
+            first = first[(first >= a) & (first + s.min_words <= b)]
+            starts.append(first)
+            row.append(np.full(len(first), i))
+        at_, row_ = np.concatenate([*starts, np.zeros(0, np.int64)]), np.concatenate([*row, np.zeros(0, np.int64)])
+        keys = [B.span_hash(w.hash, at_, at_ + s.min_words, *base).view(np.int64) for base in B.BASES]
+        who = pa.array(row_)
+        cols = [*map(pa.array, keys), batch.column(0).take(who), batch.column(1).take(who), pa.array((at_ - w.first[row_]).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(cols, ["k1", "k2", "rid", "doc_id", "pos"])
 
-RUN_SCHEMA = "part int, run bigint, seq int, shared int, rest binary, lshared int, lrest binary, doc_id bigint, rid bigint, pos int"
+    every = map_batches(joined, windows, "k1 bigint, k2 bigint, rid bigint, doc_id bigint, pos int", 500)
+    every = every.withColumn("me", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos"))
+    # Equal rows count as one: there are two occurrences if the first isn't the last.
+    twice = every.groupBy("k1", "k2").agg(F.min("me").alias("oldest"), F.max("me").alias("newest")).where("oldest <> newest").drop("newest")
+    end, older = F.col("pos") + s.min_words, F.col("me") > F.col("oldest")
+    return every.join(twice, ["k1", "k2"]).select(
+        "rid", "doc_id", F.col("oldest.doc_id").alias("first_doc_id"), F.col("pos").alias("start"), end.alias("end"), F.when(older, F.col("pos")).otherwise(-1).alias("cut_start"), F.when(older, end).otherwise(-1).alias("cut_end")
+    )
+
+
+RUN_SCHEMA = "part int, run bigint, size int, bytes int, data binary"
 
 
 def suffix_records(batch: pa.RecordBatch, s: Settings) -> list[tuple]:
     """(key, left words reversed, doc_id, rid, pos) of the wanted suffixes of a batch (rid, doc_id, text, at)."""
     w = B.split_words(batch.column(2))
     h, _ = B.kgram_hash(w, s.k)
-    h = (h >> B.U64(1)).astype(">u8")
+    h = (h >> B.U64(1)).astype(">u8").tobytes()
     out = []
     rid, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     data = w.data.tobytes()
-    start, end = w.start, w.end
+    start, end = w.start.tolist(), w.end.tolist()
+    # Words with one blank between them can be sliced as they stand.
+    gap = np.ones(len(start), bool)
+    gap[:-1] = (w.start[1:] - w.end[:-1] == 1) & (w.data[np.minimum(w.end[:-1], len(w.data) - 1)] == 32)
+    odd = np.concatenate([[0], np.cumsum(~gap)])
     for i, positions in enumerate(batch.column(3).to_pylist()):
         a, b = int(w.first[i]), int(w.first[i + 1])
-        lo, hi = start[a:b].tolist(), end[a:b].tolist()
-        words = [data[x:y] for x, y in zip(lo, hi, strict=True)]
         for p in positions:
-            right = b" ".join(words[p : p + s.right]) + b" "
-            before = words[max(0, p - s.left) : p]
-            left = b" ".join(before[::-1]) + b" " if before else b""
-            out.append((h[a + p].tobytes() + right, left, ids[i], rid[i], p))
+            x = a + p
+            last, first = min(b, x + s.right), max(a, x - s.left)
+            right = data[start[x] : end[last - 1]] if odd[last - 1] == odd[x] else b" ".join([data[start[k] : end[k]] for k in range(x, last)])
+            if first == x:
+                left = b""
+            elif odd[x - 1] == odd[first]:
+                before = data[start[first] : end[x - 1]].split(b" ")
+                before.reverse()
+                left = b" ".join(before) + b" "
+            else:
+                left = b" ".join([data[start[k] : end[k]] for k in range(x - 1, first - 1, -1)]) + b" "
+            out.append((h[8 * x : 8 * x + 8] + right + b" ", left, ids[i], rid[i], p))
     return out
 
 
-def run_batches(coded: list[tuple], number: int, parts: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """Rows of RUN_SCHEMA. The first key of a part is sent whole, as its reducer has none before it."""
-    from pyspark import TaskContext
+def packed(some: list[tuple]) -> tuple[int, bytes]:
+    """Front-coded suffixes of one part: numbers column by column, then the bytes; how many bytes before compression."""
+    n, rest, m, lrest, ids, rid, pos = zip(*some, strict=True)
+    ints = np.array([n, [len(x) for x in rest], m, [len(x) for x in lrest], pos], np.int32)
+    longs = np.array([rid, [0 if x is None else x for x in ids], [x is None for x in ids]], np.int64)
+    raw = b"".join([ints.tobytes(), longs.tobytes(), *rest, *lrest])
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, bytes_: int, size: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    raw = pa.decompress(data, decompressed_size=bytes_, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.int32, 5 * size).reshape(5, size), np.frombuffer(raw, np.int64, 3 * size, 20 * size).reshape(3, size), raw[44 * size :]
+
 
+def run_batch(coded: list[tuple], number: int, parts: int) -> pa.RecordBatch:
+    """A row of RUN_SCHEMA for each part that the run touches. The first key of a part is sent whole, as its reducer has none before it."""
     context = TaskContext.get()
     run = ((context.partitionId() if context else 0) << 24) + number
-    last, last_left, last_part = b"", b"", -1
-    for at in range(0, len(coded), rows):
-        some = coded[at : at + rows]
-        shared, rest, lshared, lrest, part = [], [], [], [], []
-        for n, r, m, l, *_ in some:
-            key, left = last[:n] + r, last_left[:m] + l
-            now = int.from_bytes(key[:8], "big") * parts >> 63
-            if now != last_part:
-                n = m = 0
-            shared.append(n), rest.append(key[n:]), lshared.append(m), lrest.append(left[m:]), part.append(now)
-            last, last_left, last_part = key, left, now
-        n = len(some)
-        cols = [pa.array(part, pa.int32()), pa.array([run] * n, pa.int64()), pa.array(range(at, at + n), pa.int32())]
-        cols += [pa.array(shared, pa.int32()), pa.array(rest, pa.binary()), pa.array(lshared, pa.int32()), pa.array(lrest, pa.binary())]
-        cols += [pa.array([c[4 + j] for c in some], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
-        yield pa.RecordBatch.from_arrays(cols, ["part", "run", "seq", "shared", "rest", "lshared", "lrest", "doc_id", "rid", "pos"])
+    rows: list[tuple] = []
+    last, last_left, part = b"", b"", -1
+    held: list[tuple] = []
+
+    def close() -> None:
+        if held:
+            rows.append((part, run, len(held), *packed(held)))
+            held.clear()
+
+    for n, r, m, l, *more in coded:
+        last, last_left = last[:n] + r, last_left[:m] + l
+        now = int.from_bytes(last[:8]) * parts >> 63
+        if now != part:
+            close()
+            part, n, r, m, l = now, 0, last, 0, last_left
+        held.append((n, r, m, l, *more))
+    close()
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["part", "run", "size", "bytes", "data"])
 
 
 def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -308,22 +372,28 @@ def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def merged_spans(t: pa.Table, s: Settings) -> pa.RecordBatch:
     """Spans of one part: decode its runs, merge them, and look at each group of equal k words."""
-    run = t["run"].to_numpy()
-    shared, lshared = t["shared"].to_pylist(), t["lshared"].to_pylist()
-    rest, lrest = t["rest"].to_pylist(), t["lrest"].to_pylist()
     runs: list[tuple[list[bytes], list[int]]] = []
     base: list[int] = []
     lefts: list[bytes] = []
-    key = left = b""
-    for i in range(len(run)):
-        if not i or run[i] != run[i - 1]:
-            runs.append(([], []))
-            base.append(i)
-            key = left = b""
-        key, left = key[: shared[i]] + rest[i], left[: lshared[i]] + lrest[i]
-        runs[-1][0].append(key)
-        runs[-1][1].append(shared[i])
-        lefts.append(left)
+    numbers: list[tuple[np.ndarray, np.ndarray]] = []
+    for size, bytes_, data in zip(*[t[c].to_pylist() for c in ("size", "bytes", "data")], strict=True):
+        ints, longs, raw = unpacked(data, bytes_, size)
+        keys: list[bytes] = []
+        base.append(len(lefts))
+        at_r, key, left = 0, b"", b""
+        at_l = int(ints[1].sum())
+        shared = ints[0].tolist()
+        for n, k, m, o in zip(shared, ints[1].tolist(), ints[2].tolist(), ints[3].tolist(), strict=True):
+            # What is equal throughout is kept once.
+            if k or n < len(key):
+                key = key[:n] + raw[at_r : at_r + k]
+            if o or m < len(left):
+                left = left[:m] + raw[at_l : at_l + o]
+            at_r, at_l = at_r + k, at_l + o
+            keys.append(key)
+            lefts.append(left)
+        runs.append((keys, shared))
+        numbers.append((ints[4], longs))
     at, near = [], []
     same = 0
     for r, i, prefix in merge_runs(runs):
@@ -339,9 +409,10 @@ def merged_spans(t: pa.Table, s: Settings) -> pa.RecordBatch:
         at.append(base[r] + i)
     at_ = np.array(at, np.int64)
     near_right = np.array(near, np.int64)
-    rid, pos = t["rid"].to_numpy()[at_], t["pos"].to_numpy()[at_].astype(np.int64)
-    doc = t["doc_id"].combine_chunks().take(pa.array(at_))
-    none, number = doc.is_null().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy()
+    pos = np.concatenate([x for x, _ in numbers]).astype(np.int64)[at_]
+    rid, number, none = np.concatenate([x for _, x in numbers], 1)[:, at_]
+    none = none == 1
+    doc = pa.array(number, mask=none)
     # Rows that repeat id and text are one: of equal suffixes the first stays.
     order = np.lexsort((pos, rid))
     twice = np.zeros(len(order), bool)
@@ -443,18 +514,19 @@ def apply(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def keep(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs, all its columns, without the words of spans that are cut; n_chars, where there, is counted anew.
+    """docs, all its columns whatever their names, without the words of spans that are cut; n_chars, where there, is counted anew.
 
     A text of which no word is left goes with its row. Null, short and empty texts stay as they are.
     """
-    gone = spans(docs, s).where("cut").groupBy(F.col("rid").alias("__rid")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__gone"))
-    keyed = docs.withColumn("__rid", F.xxhash64(col("doc_id"), col("text")))
-    joined = keyed.join(gone, "__rid", "left").select(*[col(c) for c in docs.columns], "__gone")
+    rid, holes_ = unused(docs, "rid", "gone")
+    gone = spans(docs, s).where("cut").groupBy(F.col("rid").alias(rid)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(holes_))
+    keyed = docs.withColumn(rid, F.xxhash64(col("doc_id"), col("text")))
+    joined = keyed.join(gone, rid, "left").select(*[col(c) for c in docs.columns], col(holes_))
     schema = docs.schema
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index("text")
-        hit = np.flatnonzero(batch.column("__gone").is_valid().to_numpy(zero_copy_only=False))
+        hit = np.flatnonzero(batch.column(batch.num_columns - 1).is_valid().to_numpy(zero_copy_only=False))
         cols = dict(zip(batch.schema.names, batch.columns, strict=True))
         stays = np.ones(batch.num_rows, bool)
         if len(hit):
@@ -463,7 +535,7 @@ def keep(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             data = w.data.tobytes()
             _, off = B.batch_bytes(some.column(at))
             new = []
-            for i, holes in enumerate(some.column("__gone").to_pylist()):
+            for i, holes in enumerate(some.column(some.num_columns - 1).to_pylist()):
                 a, b = int(w.first[i]), int(w.first[i + 1])
                 from_, pieces, left = int(off[i]), [], b - a
                 for h in holes:
@@ -490,3 +562,25 @@ def keep(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply(table(spark, sf_dir, "documents"))
+
+
+def sql(s: Settings = Settings()) -> str:
+    """The same for DuckDB, from every window of min_words words of every document; doc_id must be unique."""
+    return f"""
+WITH docs AS (SELECT doc_id, [x FOR x IN string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+') IF x <> ''] AS ws FROM documents WHERE text IS NOT NULL),
+windows AS (SELECT doc_id, p, md5(array_to_string(list_slice(ws, p + 1, p + {s.min_words}), ' ')) AS h
+  FROM (SELECT doc_id, ws, CAST(unnest(range(0, len(ws) - {s.min_words} + 1)) AS INTEGER) AS p FROM docs WHERE len(ws) >= {s.min_words})),
+found AS (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1 AS older, first_value(doc_id) OVER (PARTITION BY h ORDER BY doc_id, p) AS oldest, count(*) OVER (PARTITION BY h) AS n FROM windows),
+twice AS (SELECT * FROM found WHERE n > 1),
+-- Islands of windows that overlap or touch: all, and those with an earlier occurrence.
+marked AS (SELECT doc_id, p, oldest, kind, CASE WHEN p > lag(p) OVER w + {s.min_words} OR lag(p) OVER w IS NULL THEN 1 ELSE 0 END AS fresh
+  FROM (SELECT *, true AS kind FROM twice WHERE older UNION ALL SELECT *, false FROM twice) WINDOW w AS (PARTITION BY doc_id, kind ORDER BY p)),
+islands AS (SELECT doc_id, kind, min(p) AS a, max(p) + {s.min_words} AS b, min(oldest) AS first_doc_id FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, kind ORDER BY p) AS island FROM marked) GROUP BY doc_id, kind, island),
+-- What of an island has no earlier occurrence lies before, between and behind the cuts in it.
+holes AS (SELECT w.doc_id, w.a AS wa, w.b AS wb, w.first_doc_id, c.a, c.b FROM islands w JOIN islands c ON w.doc_id = c.doc_id AND c.kind AND NOT w.kind AND c.a >= w.a AND c.b <= w.b),
+edges AS (SELECT doc_id, first_doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id, wa ORDER BY a), wa) AS a, a AS b FROM holes
+  UNION ALL SELECT doc_id, first_doc_id, max(b), wb FROM holes GROUP BY doc_id, first_doc_id, wa, wb
+  UNION ALL SELECT doc_id, first_doc_id, a, b FROM islands w WHERE NOT kind AND NOT EXISTS (SELECT 1 FROM holes h WHERE h.doc_id = w.doc_id AND h.wa = w.a)),
+every AS (SELECT doc_id, a, b, true AS cut, first_doc_id FROM islands WHERE kind UNION ALL SELECT doc_id, a, b, false, first_doc_id FROM edges WHERE a < b)
+SELECT doc_id, CAST(a AS INTEGER) AS start_word, CAST(b AS INTEGER) AS end_word, CAST(b - a AS INTEGER) AS words, cut, first_doc_id FROM every
+"""

@@ -335,17 +335,74 @@ def test_recall_against_brute_force(spark):
     s = simhash.Settings()
     prints, some = simhash.fingerprint_batch(pa.array([t for _, t in rows]))
     f = np.unique(prints[some], axis=0)
-    want = set()
-    nodes = simhash.node(f)
-    for i in range(len(f) - 1):
-        for j in np.flatnonzero(np.bitwise_count(f[i + 1 :] ^ f[i]).sum(1, dtype=int) <= s.distance):
-            a, b = int(nodes[i]), int(nodes[i + 1 + j])
-            want.add((min(a, b), max(a, b)))
+    nodes = simhash.node(f).tolist()
+    pairs = [(i, i + 1 + int(j)) for i in range(len(f) - 1) for j in np.flatnonzero(np.bitwise_count(f[i + 1 :] ^ f[i]).sum(1, dtype=int) <= s.distance)]
     df = spark.createDataFrame([tuple(int(x) for x in r.view(np.int64)) for r in f], "f0 bigint, f1 bigint, f2 bigint, f3 bigint")
-    got = {(r["a"], r["b"]) for r in simhash.near_pairs(df, s).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want)
-    # However many rows are joined at once.
-    assert got == {(r["a"], r["b"]) for r in simhash.near_pairs(df, simhash.Settings(rows=50)).collect()}
+    for small in (s, simhash.Settings(rows=50)):
+        found = {(r["a"], r["b"]) for r in simhash.near_links(df, small).collect()}
+        assert found <= {(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in pairs}
+        group = grouped(found)
+        met = [group.get(nodes[i], i) == group.get(nodes[j], j) for i, j in pairs]
+        assert sum(met) >= 0.95 * len(met)
+        # Pairs at the very bound as well.
+        far = [m for m, (i, j) in zip(met, pairs, strict=True) if np.bitwise_count(f[i] ^ f[j]).sum() >= 36]
+        assert sum(far) >= 0.9 * len(far)
+
+
+def grouped(links):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: find(x) for x in parent}
+
+
+def flipped(rng, center, n, bits):
+    """n fingerprints of which each has that many bits of center flipped."""
+    at = np.array([rng.permutation(256)[:bits] for _ in range(n)]).reshape(n, bits)
+    on = np.zeros((n, 256), np.uint8)
+    np.put_along_axis(on, at, 1, 1)
+    return np.packbits(on, axis=1, bitorder="little").view(B.U64).reshape(n, 4) ^ center
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_of_a_cell_connect_what_all_pairs_connect(seed):
+    rng = np.random.default_rng(seed)
+    centers = rng.integers(0, 1 << 63, (6, 4), dtype=np.int64).view(B.U64)
+    f = np.concatenate([flipped(rng, c, 30, bits) for c, bits in zip(centers, (2, 10, 18, 21, 30, 60), strict=True)])
+    cell = np.sort(rng.integers(0, 2, len(f)))
+    x, y = simhash.links(cell, f, 40)
+    near = np.bitwise_count(f[:, None] ^ f[None]).sum(2, dtype=int) <= 40
+    assert near[x, y].all() and (cell[x] == cell[y]).all()
+    brute = [(i, j) for i in range(len(f)) for j in range(i) if near[i, j] and cell[i] == cell[j]]
+    assert grouped(zip(x.tolist(), y.tolist(), strict=True)) == grouped(brute)
+
+
+def test_a_hundred_thousand_rows_in_one_cell():
+    """Copies of ten documents: each row is reached once, and compared to few."""
+    rng = np.random.default_rng(5)
+    centers = rng.integers(0, 1 << 63, (10, 4), dtype=np.int64).view(B.U64)
+    f = np.concatenate([flipped(rng, c, 10_000, 8) for c in centers])
+    f = f[rng.permutation(len(f))]
+    x, y = simhash.links(np.zeros(len(f), np.int64), f, 40)
+    assert len(x) == len(f) - 10 and len(set(grouped(zip(x.tolist(), y.tolist(), strict=True)).values())) == 10
+
+
+@given(st.lists(st.integers(0, 6), max_size=60), st.integers(1, 9), st.integers(1, 30))
+@settings(max_examples=60, deadline=None)
+def test_cells_are_whole_however_batches_are_cut(cell, step, rows):
+    cell.sort()
+    t = pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(range(len(cell)), pa.int64())})
+    got = list(simhash.whole_cells(iter(t.to_batches(max_chunksize=step)), rows))
+    assert [v for x in got for v in x["n"].to_pylist()] == list(range(len(cell)))
+    seen = [set(x["cell"].to_pylist()) for x in got]
+    assert sum(map(len, seen)) == len(set(cell))
 
 
 def test_components(spark):
@@ -400,7 +457,7 @@ def found_spans(df, s):
 def test_spans_match_brute_force(spark, seed):
     """Passages of all lengths around the bound, runs, periods, overlaps and whole copies; several runs a task."""
     rng = random.Random(seed)
-    s = suffixes.Settings(min_words=12, k=4, window=8, run=40 + 60 * seed, batch=7)
+    s = suffixes.Settings(min_words=12, k=4, window=8, run=40 + 60 * seed, part=30, hot=(2, 5, 12, 20_000)[seed])
     word = lambda k: f"w{rng.randrange(k)}"
     shared = [[word(40) for _ in range(rng.randrange(8, 40))] for _ in range(6)]
     rows = []
