@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import mixing, packing, simhash, suffixes, toxicity
-from gridloom.llm.common import scratch, table
+from gridloom.llm.common import remove, remove_at_exit, scratch, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences packed from runs of the mix, so that each stays as mixed as its surroundings."""
-    return packing.pack_in_order(docs)
+    """Sequences packed from runs of the mix, so that each stays as mixed as its surroundings: pieces and their bytes."""
+    return packing.sequences(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -51,10 +51,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; intermediate tables go to the cluster's shared folder."""
+    """All stages over the documents: sequences with their bytes, in order when sorted by (window, bin).
+
+    Intermediate tables go to the cluster's shared folder. Each is deleted as soon as the next is written; the last, the
+    mix, from which the result is read, goes when the session ends.
+    """
     docs = table(spark, sf_dir, "documents")
-    at = scratch(spark)
+    at, before = scratch(spark), None
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        if before:
+            remove(spark, before)
+        before = f"{at}/{k}"
+    remove_at_exit(spark, at)
     return STAGES[-1][1](spark, docs, sf_dir)
