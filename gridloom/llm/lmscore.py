@@ -43,7 +43,7 @@ class Settings:
 
     held_out: int = 10
     rounds: int = 25
-    block: int = 8_000_000
+    block: int = 4_000_000
 
 
 def fold_table() -> np.ndarray:
@@ -211,7 +211,7 @@ def bits_of(code: np.ndarray, off: np.ndarray, every: Counts, weights: np.ndarra
 
 
 def apply(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, symbols, bits, bits_per_symbol, words, word_bits, bits_per_word) of every row of docs.
+    """(doc_id, score, words, word_bits, symbols, bits, bits_per_symbol) of every row of docs; score is bits a word.
 
     A null or empty text has 0 symbols, 0 bits and a null rate; so has, of words, a text without any. The word model's
     bits hold those of the text's end. Repeated rows have equal scores, and count as often as they occur; null ids stay
@@ -230,10 +230,10 @@ def apply(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         parts = [spelling(texts.slice(lo, 200)) for lo in range(0, len(texts), 200)]
         by_symbol = [pa.chunked_array(x) for x in zip(*parts, strict=True)]
         word_bits = np.round(word_bits, 3)
-        by_word = [pa.array(words), pa.array(word_bits), pa.array(np.round(word_bits / np.maximum(words, 1), 6), mask=words == 0)]
-        return pa.Table.from_arrays([ids, *by_symbol, *by_word], ["doc_id", "symbols", "bits", "bits_per_symbol", "words", "word_bits", "bits_per_word"])
+        by_word = [pa.array(np.round(word_bits / np.maximum(words, 1), 6), mask=words == 0), pa.array(words), pa.array(word_bits)]
+        return pa.Table.from_arrays([ids, *by_word, *by_symbol], ["doc_id", "score", "words", "word_bits", "symbols", "bits", "bits_per_symbol"])
 
-    schema = "doc_id bigint, symbols bigint, bits double, bits_per_symbol double, words bigint, word_bits double, bits_per_word double"
+    schema = "doc_id bigint, score double, words bigint, word_bits double, symbols bigint, bits double, bits_per_symbol double"
     return wordlm.scored(pick(docs, doc_id="doc_id", text="text"), f, schema, s.held_out, s.rounds, s.block)
 
 

@@ -1,8 +1,8 @@
 """A model of words by deleted interpolation: n-grams of one to three words, whole vocabulary.
 
 Words are lower-cased, between white space and ASCII punctuation; a text begins with a symbol of its own and ends with
-another. An n-gram is its hash of 54 bits and its order (by estimate, with
-10**10 different n-grams one look-up in a million meets a wrong one). Documents are cut into blocks by hash. Each block sends the
+another. An n-gram is its order and its hash, of 16 bits more than it takes to number the bytes of all texts: with half as
+many n-grams as bytes one look-up in 130,000 meets a wrong one, whatever the size. Documents are cut into blocks by hash. Each block sends the
 sorted list of its distinct n-grams with their counts, cut into parts by hash; a part adds up what all blocks have, and
 answers each with the sums in the order of its list, so that an answer needs no hashes. Nothing is broadcast, and lists
 and answers grow with the corpus.
@@ -18,8 +18,6 @@ Rows of one id and text are all in one block.
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Callable
 
 import numpy as np
@@ -28,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import bytesnp as B
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, release
 
 BEGIN, END = B.U64(0x5851F42D4C957F2D), B.U64(0x14057B7EF767814F)
 _STEP = B.U64(0x9E3779B97F4A7C15)
@@ -47,7 +45,7 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, n).T).view(B.U64).ravel()
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(3, positions) n-grams that end at each position, by order; each position's row; the rows' numbers of words.
 
     A row with words has a position for its begin, for each word, and for its end.
@@ -77,15 +75,17 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     two = longer(x, BEGIN)
     three = longer(two, B.mix(B.mix(np.array([BEGIN]) + _STEP) + BEGIN)[0])
-    return np.stack([named(h, k) for k, h in enumerate((B.mix(x), two, three), 1)]), row, n
+    return np.stack([named(h, k, bits) for k, h in enumerate((B.mix(x), two, three), 1)]), row, n
 
 
-def named(h: np.ndarray, order: int) -> np.ndarray:
-    """56 bits, the order lowest; sorted, the steps between a block's names take five bytes mostly."""
-    return ((h >> B.U64(8)) & ~B.U64(3)) | B.U64(order)
+def width(size: int) -> int:
+    """Bits of a name, its order included, for texts of so many bytes."""
+    return min(64, max(34, size.bit_length() + 18))
 
 
-_BEGUN = named(B.mix(np.array([BEGIN])), 1)[0]
+def named(h: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """A number of so many bits, the order lowest."""
+    return ((h >> B.U64(64 - bits)) & ~B.U64(3)) | B.U64(order)
 
 
 def starts(h: np.ndarray) -> np.ndarray:
@@ -95,14 +95,14 @@ def starts(h: np.ndarray) -> np.ndarray:
     return new
 
 
-def listed(parts: int) -> Callable[[pa.Table], pa.Table]:
+def listed(parts: int, bits: int) -> Callable[[pa.Table], pa.Table]:
     """(block, part, size, grams, counts) of a block's rows (block, doc_id, text)."""
 
     def f(rows: pa.Table) -> pa.Table:
-        h = np.sort(grams(rows.column("text").combine_chunks())[0], axis=None)
+        h = np.sort(grams(rows.column("text").combine_chunks(), bits)[0], axis=None)
         at = np.flatnonzero(starts(h))
         n, h = np.diff(at, append=len(h)), h[at]
-        edge = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
+        edge = np.searchsorted(part_of(h, parts, bits), np.arange(parts + 1))
         spans = [(p, a, b) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
         block = rows.column("block")[0].as_py() if rows.num_rows else 0
         cols = [pa.array([block] * len(spans), pa.int32()), pa.array([p for p, _, _ in spans], pa.int32()), pa.array([b - a for _, a, b in spans], pa.int32())]
@@ -112,11 +112,11 @@ def listed(parts: int) -> Callable[[pa.Table], pa.Table]:
     return f
 
 
-def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> B.U64(24)) * B.U64(parts)) >> B.U64(32)
+def part_of(h: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    return ((h >> B.U64(bits - 32)) * B.U64(parts)) >> B.U64(32)
 
 
-def added(rows: pa.Table) -> pa.Table:
+def added(rows: pa.Table, bits: int) -> pa.Table:
     """(block, part, size, counts, kinds, tokens): for each list of a part, the sums over all; the first has the part's numbers of different and of all words."""
     size = rows.column("size").to_numpy()
     h = np.concatenate([np.cumsum(unpack(g, k), dtype=B.U64) for g, k in zip(rows.column("grams").to_pylist(), size, strict=True)])
@@ -125,7 +125,7 @@ def added(rows: pa.Table) -> pa.Table:
     new = starts(h[order])
     at = np.flatnonzero(new)
     total = np.add.reduceat(n[order], at)
-    word = (h[order[at]] & B.U64(3) == 1) & (h[order[at]] != _BEGUN)
+    word = (h[order[at]] & B.U64(3) == 1) & (h[order[at]] != named(B.mix(np.array([BEGIN])), 1, bits)[0])
     every = np.empty(len(h), np.int64)
     every[order] = total[np.cumsum(new) - 1]
     off = np.cumsum(size) - size
@@ -135,9 +135,9 @@ def added(rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([*cols, pa.array(first * word.sum()), pa.array(first * total[word].sum())], ["block", "part", "size", "counts", "kinds", "tokens"])
 
 
-def looked_up(texts: pa.Array, answers: pa.Table, tokens: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def looked_up(texts: pa.Array, answers: pa.Table, tokens: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Estimates of orders 3 to 1 for each word and end of a block's texts, their contexts' frequencies, rows; numbers of words."""
-    h, row, n = grams(texts)
+    h, row, n = grams(texts, bits)
     if not len(row):
         return [np.zeros(0)] * ORDER, np.zeros(0, np.int64), row, n
     answers = answers.sort_by("part")
@@ -200,32 +200,24 @@ def learn(key: np.ndarray, n: np.ndarray, kinds: int, rounds: int) -> np.ndarray
     return weights
 
 
-def answered(keyed: DataFrame, blocks: int) -> DataFrame:
+def answered(keyed: DataFrame, blocks: int, bits: int) -> DataFrame:
     """(block, part, size, counts, kinds, tokens), stored: the counts of all n-grams of each block."""
-    lists = keyed.groupBy("block").applyInArrow(listed(blocks), "block int, part int, size int, grams binary, counts binary")
-    return cut(lists.groupBy("part").applyInArrow(added, "block int, part int, size int, counts binary, kinds bigint, tokens bigint"))
-
-
-def release(docs: DataFrame) -> None:
-    """Frees the disk of shuffles to which nothing refers, in Python and then in the driver's JVM, once its cleaner came by."""
-    for _ in range(2):
-        gc.collect()
-        docs.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(1)
+    lists = keyed.groupBy("block").applyInArrow(listed(blocks, bits), "block int, part int, size int, grams binary, counts binary")
+    return cut(lists.groupBy("part").applyInArrow(lambda rows: added(rows, bits), "block int, part int, size int, counts binary, kinds bigint, tokens bigint"))
 
 
 def scored(docs: DataFrame, f: Callable[[pa.Array, pa.Array, np.ndarray, np.ndarray], pa.Table], schema: str, held_out: int, rounds: int, block: int) -> DataFrame:
     """f(ids, texts, words, bits) of each block of docs (doc_id, text); words and bits a row each."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block))
+    blocks, bits = max(1, -(-size // block)), width(size)
     keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
-    answers = answered(keyed, blocks)
-    release(docs)
+    answers = answered(keyed, blocks, bits)
+    release(docs.sparkSession)
     kinds, tokens = (x or 0 for x in answers.agg(F.sum("kinds"), F.sum("tokens")).first())
     back = answers.select("block", "part", "size", "counts")
 
     def seen(_: tuple, rows: pa.Table, got: pa.Table) -> pa.Table:
-        p, context, _, _ = looked_up(rows.column("text").combine_chunks(), got, tokens)
+        p, context, _, _ = looked_up(rows.column("text").combine_chunks(), got, tokens, bits)
         key, n = np.unique(rounded(p, context), return_counts=True)
         return pa.Table.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
@@ -233,16 +225,16 @@ def scored(docs: DataFrame, f: Callable[[pa.Array, pa.Array, np.ndarray, np.ndar
         return df.where(F.col("block") % held_out == 0).groupBy("block")
 
     got = some(keyed).cogroup(some(back)).applyInArrow(seen, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    release(docs)
+    release(docs.sparkSession)
     weights = learn(got.column("key").to_numpy(), got.column("n").to_numpy(), kinds, rounds)
 
     def score(_: tuple, rows: pa.Table, got: pa.Table) -> pa.Table:
         texts = rows.column("text").combine_chunks()
-        p, context, row, n = looked_up(texts, got, tokens)
+        p, context, row, n = looked_up(texts, got, tokens, bits)
         w = weights[bucket(context)]
         mixed = sum(w[:, k] * x for k, x in enumerate([*p, 1 / max(1, kinds)]))
-        bits = np.bincount(row, weights=-np.log2(mixed), minlength=len(n))
+        cost = np.bincount(row, weights=-np.log2(mixed), minlength=len(n))
         del p, context, row, w, mixed
-        return f(rows.column("doc_id").combine_chunks(), texts, n, bits)
+        return f(rows.column("doc_id").combine_chunks(), texts, n, cost)
 
     return keyed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)

@@ -246,7 +246,7 @@ def test_word_scores_match_brute_force(spark):
     assert len(rows) == len(texts)
     for r in rows:
         ts = tokens.get(r["doc_id"], [])
-        assert r["words"] == max(0, len(ts) - 1) and (r["bits_per_word"] is None) == (not ts)
+        assert r["words"] == max(0, len(ts) - 1) and (r["score"] is None) == (not ts)
         assert r["word_bits"] == pytest.approx(sum(-np.log2(sum(w * x for w, x in zip(weights[b], p, strict=True))) for b, p in ts), abs=2e-3)
 
 
@@ -256,7 +256,7 @@ def test_known_words_in_nonsense_order_cost_more_bits(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' and n_chars between 500 and 5000").select("doc_id", "text").limit(60).collect()
     shuffled = [(10**6 + r["doc_id"], " ".join(rng.sample(w, len(w)))) for r in rows for w in [r["text"].split()]]
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(shuffled, "doc_id bigint, text string"))
-    got = {r["doc_id"]: r["bits_per_word"] for r in lmscore.apply(docs).collect()}
+    got = {r["doc_id"]: r["score"] for r in lmscore.apply(docs).collect()}
     assert np.mean([got[10**6 + r["doc_id"]] > got[r["doc_id"]] for r in rows]) > 0.9
 
 
