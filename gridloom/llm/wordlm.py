@@ -162,7 +162,8 @@ def looked_up(texts: pa.Array, answers: pa.Table, tokens: int, bits: int) -> tup
 
 
 def ratio(n: np.ndarray, total: np.ndarray) -> np.ndarray:
-    return np.divide(n, total, out=np.zeros(len(n)), where=total > 0)
+    """n / total; where a wrong n-gram was met, n may be the larger, and the estimate is 1."""
+    return np.divide(np.minimum(n, total), total, out=np.zeros(len(n)), where=total > 0)
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
