@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,16 +39,20 @@ def dot(x: Column, y: Column) -> Column:
     return total(F.zip_with(x, y, lambda a, b: a * b))
 
 
+def with_value(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, not anew in each lambda that uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def softmax(x: Column) -> Column:
-    """Shifted by the maximum. The exponentials are computed once, in a struct of one field folded over."""
-    exps = F.transform(x, lambda e: F.exp(e - F.array_max(x)))
-    return F.transform(F.array(exps), lambda z: F.transform(z, lambda e: e / F.aggregate(z, F.lit(0.0), lambda a, q: a + q)))[0]
+    """Shifted by the maximum. Maximum, exponentials and sum are computed once a row, each bound as an array of one."""
+    exps = with_value(F.array_max(x), lambda top: F.transform(x, lambda e: F.exp(e - top)))
+    return with_value(exps, lambda z: with_value(total(z), lambda s: F.transform(z, lambda e: e / s)))
 
 
 def log_softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    norm = F.ln(F.aggregate(F.transform(x, lambda e: F.exp(e - top)), F.lit(0.0), lambda a, e: a + e)) + top
-    return F.transform(F.arrays_zip(F.array_repeat(norm, F.size(x)).alias("z"), x.alias("x")), lambda p: p["x"] - p["z"])
+    norm = with_value(F.array_max(x), lambda top: F.ln(total(F.transform(x, lambda e: F.exp(e - top)))) + top)
+    return with_value(norm, lambda z: F.transform(x, lambda e: e - z))
 
 
 def argmax(x: Column) -> Column:

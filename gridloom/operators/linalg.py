@@ -2,7 +2,8 @@
 
 A product of large matrices runs on blocks: each side is cut into tiles, tiles meet by their inner block number, NumPy
 multiplies them, and Spark adds up the partial products by output tile. Factorisations are sequential in the pivots, so
-they gather one matrix, of at most MAX_SIDE rows, into one task.
+they gather one matrix, of at most MAX_SIDE rows, into one task. They take its shape, or find it in one aggregation: a cell
+that isn't there is zero, in the last row or column too.
 """
 
 from __future__ import annotations
@@ -76,11 +77,8 @@ def det_dense(a: np.ndarray) -> float:
     return float(sign * np.prod(np.sign(diagonal)) * np.exp(np.log(np.abs(diagonal)).sum()))
 
 
-def _dense(frame: pd.DataFrame) -> np.ndarray:
-    h, w = int(frame["i"].max()) + 1, int(frame["j"].max()) + 1
-    if max(h, w) > MAX_SIDE:
-        raise ValueError(f"a side of {max(h, w)}: factorisations take {MAX_SIDE} at most")
-    out = np.zeros((h, w))
+def _dense(frame: pd.DataFrame, side: int) -> np.ndarray:
+    out = np.zeros((side, side))
     out[frame["i"].to_numpy(), frame["j"].to_numpy()] = frame["v"].to_numpy()
     return out
 
@@ -91,53 +89,61 @@ def _cells(a: np.ndarray, part: str = "") -> pd.DataFrame:
     return out.assign(part=part) if part else out
 
 
-def _square(a: np.ndarray) -> np.ndarray:
-    if a.shape[0] != a.shape[1]:
-        raise ValueError(f"not square: {a.shape}")
-    return a
+def side_of(a: DataFrame, shape: tuple[int, int] | None = None) -> int:
+    """The side of a square matrix of at most MAX_SIDE, before any cell of it is gathered."""
+    h, w = shape or tuple(int(x or 0) for x in a.agg(F.max("i") + 1, F.max("j") + 1).first())
+    if h != w:
+        raise ValueError(f"not square: {(h, w)}")
+    if h > MAX_SIDE:
+        raise ValueError(f"a side of {h}: factorisations take {MAX_SIDE} at most")
+    return h
 
 
 def _gathered(a: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     return a.groupBy().applyInPandas(lambda frame: f(frame), schema)
 
 
-def inverse(a: DataFrame) -> DataFrame:
-    return _gathered(a, lambda x: _cells(inverse_dense(_square(_dense(x)))), "i int, j int, v double")
+def inverse(a: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
+    n = side_of(a, shape)
+    return _gathered(a, lambda x: _cells(inverse_dense(_dense(x, n))), "i int, j int, v double")
 
 
-def lu_inverse(a: DataFrame) -> DataFrame:
+def lu_inverse(a: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
     """Through the factorisation and substitution."""
+    n = side_of(a, shape)
 
     def f(x: pd.DataFrame) -> pd.DataFrame:
-        m = _square(_dense(x))
-        order, lu, _ = plu_dense(m)
-        return _cells(solve_plu(order, lu, np.eye(len(m))))
+        order, lu, _ = plu_dense(_dense(x, n))
+        return _cells(solve_plu(order, lu, np.eye(n)))
 
     return _gathered(a, f, "i int, j int, v double")
 
 
-def plu(a: DataFrame) -> DataFrame:
+def plu(a: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
     """(part, i, j, v): part 'P' with P A = L U, and 'LU' packed."""
+    n = side_of(a, shape)
 
     def f(x: pd.DataFrame) -> pd.DataFrame:
-        order, lu, _ = plu_dense(_square(_dense(x)))
+        order, lu, _ = plu_dense(_dense(x, n))
         return pd.concat([_cells(np.eye(len(lu))[order], "P"), _cells(lu, "LU")])[["part", "i", "j", "v"]]
 
     return _gathered(a, f, "part string, i int, j int, v double")
 
 
-def det(a: DataFrame) -> DataFrame:
-    return _gathered(a, lambda x: pd.DataFrame({"v": [det_dense(_square(_dense(x)))]}), "v double")
+def det(a: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
+    n = side_of(a, shape)
+    return _gathered(a, lambda x: pd.DataFrame({"v": [det_dense(_dense(x, n))]}), "v double")
 
 
-def solve(a: DataFrame, b: DataFrame) -> DataFrame:
+def solve(a: DataFrame, b: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
     """x (i, v) with A x = b."""
+    n = side_of(a, shape)
     both = a.select("i", "j", "v").unionByName(b.select("i", F.lit(-1).alias("j"), "v"))
 
     def f(frame: pd.DataFrame) -> pd.DataFrame:
         side = frame["j"] < 0
-        m = _square(_dense(frame[~side]))
-        right = np.zeros(len(m))
+        m = _dense(frame[~side], n)
+        right = np.zeros(n)
         right[frame["i"][side].to_numpy()] = frame["v"][side].to_numpy()
         order, lu, _ = plu_dense(m)
         x = solve_plu(order, lu, right)
@@ -159,8 +165,16 @@ def _tile(k: np.ndarray, v: np.ndarray, side: int) -> np.ndarray:
     return out.reshape(side, side)
 
 
+def _there(k: np.ndarray, side: int) -> np.ndarray:
+    """1 where a tile has a cell."""
+    return _tile(k, np.ones(len(k)), side)
+
+
 def block_matmul(a: DataFrame, b: DataFrame, side: int = 256) -> DataFrame:
-    """a b of (i, j, v) matrices by tiles: 2 * side**3 operations for each 16 * side**2 bytes that move."""
+    """a b of (i, j, v) matrices by tiles: 2 * side**3 operations for each 16 * side**2 bytes that move.
+
+    A cell is there, zero or not, wherever a row of a and a column of b have a cell in common, as in coo.matmul.
+    """
     left = blocks(a, side).select("bi", F.col("bj").alias("bk"), F.col("cells").alias("x"))
     right = blocks(b, side).select(F.col("bi").alias("bk"), "bj", F.col("cells").alias("y"))
 
@@ -169,8 +183,9 @@ def block_matmul(a: DataFrame, b: DataFrame, side: int = 256) -> DataFrame:
             x, y = batch.column(batch.schema.get_field_index("x")), batch.column(batch.schema.get_field_index("y"))
             bi, bj = batch.column(batch.schema.get_field_index("bi")).to_pylist(), batch.column(batch.schema.get_field_index("bj")).to_pylist()
             for r in range(batch.num_rows):
-                m = _tile(*_pair(x[r].values), side) @ _tile(*_pair(y[r].values), side)
-                i, j = np.nonzero(m)
+                p, q = _pair(x[r].values), _pair(y[r].values)
+                m = _tile(*p, side) @ _tile(*q, side)
+                i, j = np.nonzero(_there(p[0], side) @ _there(q[0], side))
                 cols = [pa.array((bi[r] * side + i).astype(np.int32)), pa.array((bj[r] * side + j).astype(np.int32)), pa.array(m[i, j])]
                 yield pa.RecordBatch.from_arrays(cols, ["i", "j", "v"])
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from gridloom.operators import kernels as K
 
 ACTIVATIONS = ("relu", "tanh", "sigmoid", "selu", "leakyrelu", "elu")
+#: Numbers of a gradient that travel in one row.
+CHUNK = 1 << 16
 POOLS = {"maxpool": "max", "avgpool": "avg", "minpool": "min"}
 
 
@@ -56,7 +58,7 @@ class Model:
         """What a task needs: no gradients or moments, and nothing that was hung on the model by a session."""
         return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__} | {"gradients": {}, "moments": {}}
 
-    # -- building ---------------------------------------------------------------------------------------------------
+    # building
 
     @property
     def out(self) -> tuple[int, int, int]:
@@ -160,7 +162,7 @@ class Model:
         self.params[layer, name] = new.reshape(old.shape)
         return self
 
-    # -- one batch ----------------------------------------------------------------------------------------------------
+    # one batch
 
     def _forward(self, x: np.ndarray, ids: np.ndarray, stats: dict[int, tuple[np.ndarray, np.ndarray]], until: int) -> list[np.ndarray]:
         """Inputs of layers 0 .. until, the last being the output of layer until - 1."""
@@ -241,7 +243,7 @@ class Model:
                     d = w * r * (d - total / n - hat * dotted / n)
         return d, grads
 
-    # -- passes over the data -------------------------------------------------------------------------------------------
+    # passes over the data
 
     def _rows(self, batch: pa.RecordBatch, name: str = "x") -> np.ndarray:
         values = batch.column(batch.schema.get_field_index(name))
@@ -251,7 +253,7 @@ class Model:
         return df.select(F.col("id").cast("bigint").alias("id"), F.col("x").cast("array<double>").alias("x"), *[F.col(m).cast("array<double>").alias(m) for m in more])
 
     def _sums(self, df: DataFrame, f) -> np.ndarray:
-        """Sum over all batches of the vector that f makes of each."""
+        """Sum over all batches of the vector that f makes of each: a task sends its sum in chunks, which are added apart."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
@@ -259,11 +261,16 @@ class Model:
                 if batch.num_rows:
                     v = f(batch)
                     total = v if total is None else total + v
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["k", "v"])
+            for k in range(0, 0 if total is None else len(total), CHUNK):
+                part = total[k : k + CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))], ["k", "v"])
 
-        rows = df.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
-        return np.array([r["v"] for r in rows])
+        def add(rows: pa.Table) -> pa.Table:
+            v = np.stack([x.values.to_numpy() for x in rows.column("v")]).sum(0)
+            return pa.Table.from_arrays([pa.array([rows.column("k")[0].as_py()], pa.int32()), pa.array([v], pa.list_(pa.float64()))], ["k", "v"])
+
+        got = df.mapInArrow(run, "k int, v array<double>").groupBy("k").applyInArrow(add, "k int, v array<double>").toArrow().sort_by("k")
+        return np.concatenate([np.zeros(0), *[x.values.to_numpy() for x in got.column("v")]])
 
     def statistics(self, df: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Mean and biased variance by channel at each batch normalisation, in order of the layers."""
@@ -293,12 +300,10 @@ class Model:
 
         return self._samples(df).mapInArrow(run, "id bigint, x array<double>")
 
-    def backprop(self, df: DataFrame, targets: str = "t") -> Model:
-        """Gradients of all parameters from samples (id, x, targets), summed over the samples."""
-        stats = self.statistics(df)
-        data = self._samples(df, targets)
-        sums: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
+    def _norm_sums(self, data: DataFrame, stats: dict, targets: str) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+        """Count and sums of the gradient at each batch normalisation, from the last to the first: all samples share them."""
         depth = len(self.layers)
+        sums: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
         for i in range(depth - 1, -1, -1):
             if self.layers[i].op == "batchnorm":
 
@@ -310,6 +315,14 @@ class Model:
                 got = self._sums(data, at)
                 c = (len(got) - 1) // 2
                 sums[i] = (got[0], got[1 : 1 + c], got[1 + c :])
+        return sums
+
+    def backprop(self, df: DataFrame, targets: str = "t") -> Model:
+        """Gradients of all parameters from samples (id, x, targets), summed over the samples."""
+        stats = self.statistics(df)
+        data = self._samples(df, targets)
+        depth = len(self.layers)
+        sums = self._norm_sums(data, stats, targets)
         names = sorted(self.params)
 
         def gradient(b: pa.RecordBatch) -> np.ndarray:
@@ -326,21 +339,22 @@ class Model:
         return self
 
     def input_gradient(self, df: DataFrame, targets: str = "t") -> DataFrame:
-        """(id, x) gradient of each sample's values (without batch normalisation's sums)."""
+        """(id, x) gradient of each sample's values."""
         stats = self.statistics(df)
         depth = len(self.layers)
+        sums = self._norm_sums(self._samples(df, targets), stats, targets)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    d, _ = self._backward(self._forward(self._shaped(b), _ids(b), stats, depth), _ids(b), self._rows(b, targets), stats, {})
+                    d, _ = self._backward(self._forward(self._shaped(b), _ids(b), stats, depth), _ids(b), self._rows(b, targets), stats, sums)
                     d = d.reshape(b.num_rows, -1)
                     off = pa.array(np.arange(0, d.size + 1, d.shape[1], dtype=np.int32))
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(off, pa.array(d.ravel()))], ["id", "x"])
 
         return self._samples(df, targets).mapInArrow(run, "id bigint, x array<double>")
 
-    # -- optimisers ------------------------------------------------------------------------------------------------------
+    # optimisers
 
     def _update(self, f) -> Model:
         if self.trainable:
@@ -390,7 +404,7 @@ class Model:
         last = self.layers[-1].op if self.layers else ""
         return {"tanh": "bce", "sigmoid": "bce", "softmax": "ce", "logsoftmax": "nll"}.get(last, "mse")
 
-    # -- tables and files ------------------------------------------------------------------------------------------------
+    # tables and files
 
     def describe(self, spark: SparkSession) -> DataFrame:
         """(layer, op, n, h, w, c, n_params, attrs); layer 0 is the input."""

@@ -99,7 +99,7 @@ class Machine:
         self.leaving = False
         self._define()
 
-    # -- outer interpreter ------------------------------------------------------------------------------------------
+    # outer interpreter
 
     def run(self, text: str) -> str:
         """Interpret a script; returns what it printed."""
@@ -235,7 +235,7 @@ class Machine:
     def truth(x) -> bool:
         return abs(x) > S.EPS
 
-    # -- helpers --------------------------------------------------------------------------------------------------------
+    # helpers
 
     def pop(self) -> Any:
         if not self.ss:
@@ -384,7 +384,7 @@ class Machine:
             return format(int(x), "b")
         return f"{x:.6g}"
 
-    # -- dictionary -------------------------------------------------------------------------------------------------------
+    # dictionary
 
     def _define(self) -> None:
         w, ss = self.words, self.ss
@@ -830,7 +830,7 @@ class Machine:
         m = self.pop()
         self.ss.append(m.activation(name, a) if isinstance(m, Model) else m.map(lambda v: getattr(S, {"leakyrelu": "leaky"}.get(name, name))(v, a)))
 
-    # -- models -----------------------------------------------------------------------------------------------------------
+    # models
 
     def model(self) -> Model:
         found = next((x for x in reversed(self.ss) if isinstance(x, Model)), None)
@@ -994,7 +994,7 @@ class Machine:
         put("fetch", lambda: setattr(self.top(), "at", self.top().at + 1))
         put("rewind", lambda: (setattr(self.top(), "at", 0), setattr(self.top(), "done", False)))
 
-    # -- files and runs -----------------------------------------------------------------------------------------------------
+    # files and runs
 
     def _define_runs(self, put: Callable) -> None:
         ss = self.ss

@@ -158,3 +158,23 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
 @query("describe_model", "SELECT * FROM (VALUES (0, 'input', 500, 8, 8, 1, 0, '{}'), (1, 'linear', 500, 1, 10, 1, 650, '{\"stride\": 1}'), (2, 'softmax', 500, 1, 10, 1, 0, '{\"stride\": 1}')) t(layer, op, n, h, w, c, n_params, attrs)")
 def describe_model(spark: SparkSession, d: str) -> DataFrame:
     return dense().softmax().describe(spark)
+
+
+#: SQL: the embeddings as images of 8 x 4 cells and two channels; a filter with an index for each.
+TWO = f"{E}, img AS (SELECT vec_id AS n, k // 8 AS h, k % 8 // 2 AS w, k % 2 AS c1, v FROM e), f AS (SELECT c1, y, x, o, ((c1 * 2 + y * 5 + x * 3 + o * 7) % 11 - 5) / 10.0::DOUBLE AS f FROM range(2) c(c1), range(3) a(y), range(3) b(x), range(3) d(o))"
+
+
+@query(
+    "layer_conv_channels",
+    f"WITH {TWO} SELECT n, CAST(i AS INTEGER) AS h, CAST(j AS INTEGER) AS w, CAST(o AS INTEGER) AS c, {r6('sum(img.v * f) + (o + 1) / 10.0::DOUBLE')} AS v FROM range(8) r(i), range(4) s(j), f JOIN img USING (c1) WHERE img.h = i + y - 1 AND img.w = j + x - 1 GROUP BY n, i, j, o",
+)
+def layer_conv_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Two channels in, three out."""
+    c, y, x, o = np.indices((2, 3, 3, 3))
+    m = Model(500, (8, 4, 2)).conv2d(0.0, 3).set(0, "w", ((c * 2 + y * 5 + x * 3 + o * 7) % 11 - 5) / 10.0).set(0, "b", [0.1, 0.2, 0.3])
+    return maps(m.forward(samples(spark, d)), 4, 3)
+
+
+@query("layer_maxpool_channels", f"WITH {TWO} SELECT n, CAST(h // 2 AS INTEGER) AS h, CAST(w // 2 AS INTEGER) AS w, CAST(c1 AS INTEGER) AS c, {r6('max(v)')} AS v FROM img GROUP BY n, h // 2, w // 2, c1")
+def layer_maxpool_channels(spark: SparkSession, d: str) -> DataFrame:
+    return maps(Model(500, (8, 4, 2)).maxpool(2).forward(samples(spark, d)), 2, 2)

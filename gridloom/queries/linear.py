@@ -199,3 +199,23 @@ def matdiv_residual(spark: SparkSession, d: str) -> DataFrame:
 @query("embed_rows", "SELECT 'emb.' || vec_id AS name, label, len(embedding) AS width FROM embeddings")
 def embed_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.concat(F.lit("emb."), F.col("vec_id").cast("string")).alias("name"), "label", F.size("embedding").cast("bigint").alias("width"))
+
+
+#: A matrix of zeros in its last row and column, and its square, cell by cell.
+HOLED = [[1.0, 2.0, 0.0], [3.0, 4.0, 0.0], [0.0, 0.0, 0.0]]
+
+
+@query("matmul_blocks_zeros", "SELECT * FROM (VALUES (0, 0, 7.0::DOUBLE), (0, 1, 10.0), (0, 2, 0.0), (1, 0, 15.0), (1, 1, 22.0), (1, 2, 0.0), (2, 0, 0.0), (2, 1, 0.0), (2, 2, 0.0)) t(i, j, v)")
+def matmul_blocks_zeros(spark: SparkSession, d: str) -> DataFrame:
+    """Zero cells of a product by tiles stay, over the tiles' borders too."""
+    m = coo.matrix(spark, HOLED)
+    return out(linalg.block_matmul(m, m, 2))
+
+
+@query("det_singular", "SELECT CASE WHEN k < 2 THEN 0.0::DOUBLE ELSE 4.0 END AS v FROM range(3) r(k)")
+def det_singular(spark: SparkSession, d: str) -> DataFrame:
+    """Of a product with zeros, of sparse cells of a known shape, and of a regular product."""
+    m, regular = coo.matrix(spark, HOLED), coo.matrix(spark, [[1.0, 2.0], [3.0, 4.0]])
+    sparse = spark.createDataFrame([(0, 0, 1.0)], "i int, j int, v double")
+    found = linalg.det(linalg.block_matmul(m, m, 2)).union(linalg.det(sparse, (2, 2))).union(linalg.det(linalg.block_matmul(regular, regular, 2)))
+    return out(found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,3 +210,48 @@ def train_epochs(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, found[k] < found[k - 1]) for k in range(1, 4)], "epoch int, better boolean")
 
 
+#: SQL: the embeddings as images of 8 x 4 cells and two channels, their normalised values and the output's gradient.
+TWO = (
+    f"{E}, s AS (SELECT k % 2 AS c, avg(v) AS m, 1 / (sqrt(avg(v * v) - avg(v) * avg(v)) + 1e-6) AS r FROM e GROUP BY k % 2), "
+    "h AS (SELECT vec_id, k, c, (v - m) * r AS hat, r, CASE WHEN c = 0 THEN 1.5 ELSE 0.5 END::DOUBLE AS gamma FROM e JOIN s ON e.k % 2 = s.c), "
+    "g AS (SELECT *, gamma * hat + CASE WHEN c = 0 THEN 0.25 ELSE -0.25 END - 0.1 * (vec_id % 3) * (k % 5) AS dy FROM h)"
+)
+
+
+@query(
+    "bwd_batchnorm_dx",
+    f"WITH {TWO}, n AS (SELECT c, avg(dy) AS mean, avg(dy * hat) AS dotted FROM g GROUP BY c) SELECT vec_id, k, {r6('gamma * r * (dy - mean - hat * dotted)')} AS v FROM g JOIN n USING (c)",
+)
+def bwd_batchnorm_dx(spark: SparkSession, d: str) -> DataFrame:
+    """Of two channels: each sample's gradient depends on all samples by way of mean and deviation."""
+    m = Model(500, (8, 4, 2)).batchnorm().set(0, "w", [1.5, 0.5]).set(0, "b", [0.25, -0.25])
+    k = F.sequence(F.lit(0), F.lit(63))
+    x = samples(spark, d).withColumn("t", F.transform(k, lambda j: 0.1 * (F.col("id") % 3) * (j % 5)))
+    return gradient_cells(m, x)
+
+
+@query("opt_max_norm", f"WITH {GRAD}, l AS (SELECT name, sqrt(sum(g * g)) AS l FROM g GROUP BY name) SELECT name, o, k, {r6('w - 0.1 * g * least(1, 2.0 / l)')} AS v FROM par JOIN g USING (name, o, k) JOIN l USING (name)")
+def opt_max_norm(spark: SparkSession, d: str) -> DataFrame:
+    """A gradient longer than 2 is cut to that length."""
+    m = dense().softmax()
+    m.max_norm = 2.0
+    m.backprop(targets(spark, d))
+    return parameter_rows(spark, m.sgd(0.1, 0.0).params, 64)
+
+
+#: Two steps with gradients 1 and -3, from weight 2.
+@query(
+    "opt_adam_two_steps",
+    "WITH a AS (SELECT 0.9::DOUBLE AS b, 0.999::DOUBLE AS c), m AS (SELECT (1 - b) * 1 AS m1, (1 - c) * 1 AS v1, b * (1 - b) * 1 + (1 - b) * -3 AS m2, c * (1 - c) * 1 + (1 - c) * 9 AS v2 FROM a) SELECT round(2 - 0.01 * m1 / (sqrt(v1) + 1e-6) - 0.01 * m2 / (sqrt(v2) + 1e-6), 6) AS adam, "
+    "round(2 - 0.01 * 1 - 0.01 * (0.9::DOUBLE * 1 + (1 - 0.9::DOUBLE) * -3), 6) AS momentum FROM m",
+)
+def opt_adam_two_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The second step uses the first one's moments."""
+    out = []
+    for step in (lambda m: m.adam(0.01), lambda m: m.sgd(0.01, 0.9)):
+        m = Model(1, (1, 1, 1)).linear(1).set(0, "w", [2.0])
+        for g in (1.0, -3.0):
+            m.gradients = {(0, "w"): np.array([[g]])}
+            step(m)
+        out.append(round(float(m.params[0, "w"][0, 0]), 6))
+    return spark.createDataFrame([tuple(out)], "adam double, momentum double")

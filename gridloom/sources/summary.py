@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.session import write_bytes
+
 
 class Run:
     """A folder of summary tables; ``step`` is stamped on all that is written."""
@@ -40,10 +42,14 @@ class Run:
         self._append("tile", tile(df, wide, h, w).withColumn("tag", F.lit(tag)))
 
     def embed(self, tag: str, df: DataFrame, key: str, x: str) -> None:
-        """Values tab by tab, and the samples' names beside them."""
+        """Values tab by tab and the samples' names, two texts in the same order, and what a projector needs to find them."""
         rows = df.select(F.concat(F.lit(f"{tag}."), F.col(key).cast("string")).alias("name"), F.array_join(F.transform(x, lambda e: e.cast("string")), "\t").alias("values"))
-        rows.select("values").write.mode("append").text(f"{self.path}/embed/{tag}/tensors")
-        rows.select("name").write.mode("append").text(f"{self.path}/embed/{tag}/metadata")
+        # Both are written in the order of (name, values), which doesn't depend on how rows came.
+        for column, folder in (("values", "tensors"), ("name", "metadata")):
+            rows.orderBy("name", "values").select(column).write.mode("append").text(f"{self.path}/embed/{tag}/{folder}")
+        at = f"{self.path}/embed/{tag}"
+        config = f'embeddings {{\n  tensor_name: "{tag}"\n  tensor_path: "{at}/tensors"\n  metadata_path: "{at}/metadata"\n}}\n'
+        write_bytes(self.spark, f"{at}/projector_config.pbtxt", config.encode())
 
     def graph(self, model) -> None:
         self._append("graph", model.graph(self.spark))
