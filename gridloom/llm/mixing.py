@@ -88,25 +88,28 @@ def placed(docs: DataFrame, keep: list[str], s: Settings) -> tuple[DataFrame, st
     apart by all that is kept; those that are equal throughout take the places of one another.
     """
     spark = docs.sparkSession
-    h, bucket, source, rank, block, slot, before, cycles, turn, start = unused(docs, "h", "bucket", "of_source", "rank", "block", "slot", "before", "per_cycle", "turn", "at_turn")
-    rows = docs.select(*[col(c) for c in keep], col("source").alias(source), key().alias(h)).withColumn(bucket, F.substring(col(h), 1, 3))
-    counts = docs.select(col("source").alias(source), F.substring(key(), 1, 3).alias(bucket)).groupBy(source, bucket).agg(F.count("*").alias("n"))
-    earlier = counts.select(col(source).alias("s2"), col(bucket).alias("b2"), (F.sum("n").over(Window.partitionBy(source).orderBy(bucket)) - F.col("n")).alias(before))
-    by_source = {r[0]: r[1] for r in counts.groupBy(source).agg(F.sum("n").alias("n")).collect()}
+    h, bucket, source, none, rank, block, slot, before, cycles, turn, start = unused(docs, "h", "bucket", "of_source", "no_source", "rank", "block", "slot", "before", "per_cycle", "turn", "at_turn")
+    # Windows and joins agree in their keys, so that rows move once for all of them.
+    named = [F.coalesce(col("source").cast("string"), F.lit("")).alias(source), col("source").isNull().alias(none)]
+    rows = docs.select(*[col(c) for c in keep], *named, key().alias(h)).withColumn(bucket, F.substring(col(h), 1, 3))
+    counts = docs.select(*named, F.substring(key(), 1, 3).alias(bucket)).groupBy(source, none, bucket).agg(F.count("*").alias("n"))
+    earlier = counts.withColumn(before, F.sum("n").over(Window.partitionBy(source, none).orderBy(bucket)) - F.col("n")).drop("n")
+    by_source = {None if r[1] else r[0]: r[2] for r in counts.groupBy(source, none).agg(F.sum("n").alias("n")).collect()}
     weights = {n: s.weights.get(n, 0) if s.weights is not None else c**s.temper for n, c in by_source.items()}
     missing = [n for n, w in weights.items() if not w > 0]
     if missing:
         raise ValueError(f"sources without a weight: {missing[:5]}")
     share, cycle = whole_weights(weights, s.cycle)
-    plan = spark.createDataFrame(pd.DataFrame(schedule(share, cycle), columns=["s3", "i", "t"]).astype({"s3": object}), "s3 string, i int, t int")
-    shares = spark.createDataFrame(pd.DataFrame(list(share.items()), columns=["s4", "n"]).astype({"s4": object}), "s4 string, n int").withColumnRenamed("n", cycles)
-    plan = plan.withColumnRenamed("i", turn).withColumnRenamed("t", start)
+    # A row for each slot of the cycle, which the driver has made: small enough to broadcast.
+    plan = pd.DataFrame([(n or "", n is None, share[n], i, t) for n, i, t in schedule(share, cycle)], columns=[source, none, cycles, turn, start])
+    plan = F.broadcast(spark.createDataFrame(plan, f"{source} string, {none} boolean, {cycles} int, {turn} bigint, {start} int"))
+    shares = F.broadcast(spark.createDataFrame(pd.DataFrame([(n or "", n is None, c) for n, c in share.items()], columns=[source, none, cycles]), f"{source} string, {none} boolean, {cycles} int"))
     rest = [F.xxhash64(*[col(c) for c in keep])] if keep else []
-    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(source, bucket).orderBy(h, *rest)))
-    ranked = ranked.join(earlier, col(source).eqNullSafe(F.col("s2")) & (col(bucket) == F.col("b2"))).withColumn(rank, (col(before) + col(rank)).cast("bigint"))
-    ranked = ranked.join(shares, col(source).eqNullSafe(F.col("s4"))).withColumn(block, F.floor((col(rank) - 1) / s.block).cast("bigint"))
-    ranked = ranked.withColumn(turn + "_", (col(block) % col(cycles)).cast("int"))
-    done = ranked.join(plan, col(source).eqNullSafe(F.col("s3")) & (col(turn + "_") == col(turn)))
+    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(source, none, bucket).orderBy(h, *rest)))
+    ranked = ranked.join(earlier, [source, none, bucket]).withColumn(rank, (col(before) + col(rank)).cast("bigint"))
+    ranked = ranked.join(shares, [source, none]).withColumn(block, F.floor((col(rank) - 1) / s.block).cast("bigint"))
+    ranked = ranked.withColumn(turn, col(block) % col(cycles))
+    done = ranked.join(plan, [source, none, cycles, turn])
     done = done.withColumn(slot, (F.floor(col(block) / col(cycles)) * cycle + col(start)).cast("bigint"))
     return done.select(*[col(c) for c in keep], col(rank), col(block), col(slot)), rank, block, slot
 
