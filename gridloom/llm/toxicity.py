@@ -2,14 +2,18 @@
 
 Trained on labelled documents as a logistic regression over the presence of words, with an L1 penalty (a few hundred
 words keep a weight, so long clean documents don't add up to a toxic one) and a counterfactual penalty: in every labelled
-sentence that names a group, the identity term is swapped for each other term of its category and for a neutral word, and
-the squared change of the score is charged. A group's name thereby loses the blame for the company it keeps in the labels.
+sentence that names a group, the identity term, of one word or several, is swapped for each other term of its category,
+the first of which is a neutral one, and the squared difference between the scores of the two sentences is charged. A
+group's name thereby loses the blame for the company it keeps in the labels. Terms are listed for four languages.
+
+After training the intercept is kept below the threshold: a text without any word of weight is never toxic.
 
 Scores are computed row by row, over whole texts, from the trained weights alone.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,13 +24,28 @@ from pyspark.sql import functions as F
 from gridloom.llm import bytesnp as B
 from gridloom.llm.common import list_array, map_batches, map_named, pick, table
 
-#: Identity terms by category; the first word of each is the neutral one.
+#: Identity terms by language and category; the first of each is the neutral one.
 IDENTITY = (
-    ("person", "woman", "man", "girl", "boy", "transgender", "nonbinary"),
+    ("person", "woman", "man", "girl", "boy", "transgender", "nonbinary", "trans woman", "trans man"),
     ("believer", "christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"),
-    ("citizen", "immigrant", "refugee", "foreigner", "african", "asian", "european", "latino", "american", "arab"),
+    ("citizen", "immigrant", "refugee", "foreigner", "african", "asian", "european", "latino", "american", "arab", "native american", "african american"),
     ("adult", "gay", "lesbian", "bisexual", "straight", "queer", "homosexual", "heterosexual"),
     ("human", "black", "white", "brown", "indigenous", "disabled", "blind", "deaf", "elderly", "young"),
+    ("mensch", "frau", "mann", "mädchen", "junge", "transgender", "nichtbinär"),
+    ("gläubiger", "christ", "muslim", "jude", "hindu", "buddhist", "atheist", "katholik"),
+    ("bürger", "einwanderer", "flüchtling", "ausländer", "afrikaner", "asiate", "türke", "araber", "sinti und roma"),
+    ("erwachsener", "schwuler", "lesbe", "bisexueller", "homosexueller", "heterosexueller"),
+    ("person", "schwarzer", "weißer", "behinderter", "blinder", "gehörloser", "alter", "junger"),
+    ("personne", "femme", "homme", "fille", "garçon", "transgenre", "femme trans"),
+    ("croyant", "chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée", "catholique"),
+    ("citoyen", "immigré", "réfugié", "étranger", "africain", "asiatique", "arabe", "gens du voyage"),
+    ("adulte", "gay", "lesbienne", "bisexuel", "homosexuel", "hétérosexuel"),
+    ("humain", "noir", "blanc", "handicapé", "aveugle", "sourd", "âgé", "jeune"),
+    ("persona", "mujer", "hombre", "niña", "niño", "transgénero", "mujer trans"),
+    ("creyente", "cristiano", "musulmán", "judío", "hindú", "budista", "ateo", "católico"),
+    ("ciudadano", "inmigrante", "refugiado", "extranjero", "africano", "asiático", "árabe", "gitano"),
+    ("adulto", "gay", "lesbiana", "bisexual", "homosexual", "heterosexual"),
+    ("humano", "negro", "blanco", "discapacitado", "ciego", "sordo", "anciano", "joven"),
 )
 
 
@@ -56,53 +75,73 @@ def _words(texts: pa.Array) -> B.Words:
     return B.split_words(B.fold(texts), B.PUNCTUATION)
 
 
-def word_hash(word: str) -> int:
-    return int(_words(pa.array([word])).hash[0])
-
-
 def _sentences(text: str) -> list[str]:
     return text.replace("!", ".").replace("?", ".").replace("\n", ".").split(".")
 
 
-def features(texts: pa.Array, s: Settings) -> tuple[pa.ListArray, pa.ListArray]:
-    """For each text the hashes of its distinct words, and of the identity terms of each of its sentences."""
-    w = _words(texts)
-    words = [np.unique(w.hash[a:b]) for a, b in zip(w.first, w.first[1:], strict=False)]
-    every = np.array(sorted({word_hash(t) for g in s.identity for t in g}), B.U64)
-    named: list[np.ndarray] = [np.zeros(0, B.U64)] * len(words)
-    has = np.unique(w.row[np.isin(w.hash, every)])
-    for i in has.tolist():
-        p = _words(pa.array(_sentences(texts[i].as_py())))
-        hit = np.isin(p.hash, every)
-        named[i] = np.array([h for _, h in sorted({*zip(p.row[hit].tolist(), p.hash[hit].tolist(), strict=True)})], B.U64)
+def _terms(s: Settings) -> list[tuple[int, tuple[int, ...]]]:
+    """(category, word hashes) of each identity term."""
+    return [(c, tuple(_words(pa.array([t])).hash.tolist())) for c, g in enumerate(s.identity) for t in g]
 
-    def column(lists: list[np.ndarray]) -> pa.ListArray:
-        flat = np.concatenate([*lists, np.zeros(0, B.U64)]).view(np.int64)
-        return list_array(pa.array(flat), [len(x) for x in lists])
 
-    return column(words), column(named)
+def mentions(words: list[int], terms: list[tuple[int, tuple[int, ...]]], known: set[int]) -> list[list[int]]:
+    """For each term that a sentence (its words in order) names: the term's number, and which of the terms' words the
+    sentence has besides all occurrences of it."""
+    out = []
+    for k, (_, term) in enumerate(terms):
+        if term[0] in words:
+            rest, at, found = set(), 0, False
+            while at < len(words):
+                if tuple(words[at : at + len(term)]) == term:
+                    found, at = True, at + len(term)
+                else:
+                    rest.add(words[at])
+                    at += 1
+            if found:
+                out.append([k, *sorted(rest & known)])
+    return out
 
 
-def _swaps(named: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> dict[tuple[int, int], int]:
-    """How many labelled sentences swap one identity term (by its hash) for another of its category."""
-    count: dict[tuple[int, int], int] = {}
-    category = [{word_hash(t) for t in g} for g in groups]
-    for term, n in zip(*[x.tolist() for x in np.unique(named, return_counts=True)], strict=True):
-        for c in category:
-            if term in c:
-                for other in c - {term}:
-                    count[term, other] = count.get((term, other), 0) + n
+def features(texts: pa.Array, s: Settings) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each text the hashes of its distinct words, and the mentions of each of its sentences."""
+    w = _words(texts)
+    words = [np.unique(w.hash[a:b]) for a, b in zip(w.first, w.first[1:], strict=False)]
+    terms = _terms(s)
+    known = {h for _, t in terms for h in t}
+    every = np.array(sorted(known), B.U64)
+    named: list[list[list[int]]] = [[] for _ in words]
+    for i in np.unique(w.row[np.isin(w.hash, every)]).tolist():
+        p = _words(pa.array(_sentences(texts[i].as_py())))
+        for k in np.unique(p.row[np.isin(p.hash, every)]).tolist():
+            named[i] += mentions(p.hash[p.first[k] : p.first[k + 1]].tolist(), terms, known)
+    flat = np.concatenate([*words, np.zeros(0, B.U64)]).view(np.int64)
+    signed = [[[x - (1 << 64) if x >> 63 else x for x in m] for m in row] for row in named]
+    return list_array(pa.array(flat), [len(x) for x in words]), pa.array(signed, pa.list_(pa.list_(pa.int64())))
+
+
+def swaps(named: list[list[int]], s: Settings) -> dict[tuple[tuple[int, ...], tuple[int, ...]], int]:
+    """How many swaps of a term for another of its category bring some words (first) and take others (second)."""
+    terms = _terms(s)
+    count: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
+    for (k, *rest), n in Counter(map(tuple, named)).items():
+        here = {x % (1 << 64) for x in rest}
+        category, own = terms[k]
+        for c, other in terms:
+            if c == category and other != own:
+                before, after = here | set(own), here | set(other)
+                key = tuple(sorted(after - before)), tuple(sorted(before - after))
+                count[key] = count.get(key, 0) + n
     return count
 
 
 def train(texts: list[str | None], toxic: list[int], s: Settings = Settings()) -> Model:
     """As train_on, from texts."""
-    words, named = (_joined(pa.chunked_array([c])) for c in features(pa.array(texts, pa.string()), s))
-    return train_on(*words, named[0], np.array(toxic, np.float64), s)
+    words, named = features(pa.array(texts, pa.string()), s)
+    return train_on(*_joined(pa.chunked_array([words])), [m for row in named.to_pylist() for m in row], np.array(toxic, np.float64), s)
 
 
-def train_on(words: np.ndarray, sizes: np.ndarray, named: np.ndarray, y: np.ndarray, s: Settings) -> Model:
-    """From the rows' word hashes one after another and their numbers, and all identity terms of all sentences.
+def train_on(words: np.ndarray, sizes: np.ndarray, named: list[list[int]], y: np.ndarray, s: Settings) -> Model:
+    """From the rows' word hashes one after another and their numbers, and the mentions of all sentences.
 
     Proximal gradient descent with momentum. Without a toxic or without a clean row, nothing is toxic."""
     if not len(y) or y.min() == y.max():
@@ -110,7 +149,7 @@ def train_on(words: np.ndarray, sizes: np.ndarray, named: np.ndarray, y: np.ndar
     row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
     # Most words are rare and go before they are sorted: those whose hash prefix is rare are.
     often = np.bincount((words >> B.U64(42)).view(np.int64), minlength=1 << 22) >= s.min_docs
-    terms = np.array([word_hash(t) for g in s.identity for t in g], B.U64)
+    terms = np.array(sorted({h for _, t in _terms(s) for h in t}), B.U64)
     some = often[(words >> B.U64(42)).view(np.int64)] | np.isin(words, terms)
     words, row = words[some], row[some]
     del often, some
@@ -125,35 +164,35 @@ def train_on(words: np.ndarray, sizes: np.ndarray, named: np.ndarray, y: np.ndar
     n, d = len(y), len(vocabulary)
     if not d:
         return Model(np.zeros(0, B.U64), np.zeros(0), -20.0)
-    known = {int(h) for h in vocabulary[np.isin(vocabulary, terms)]}
-    pairs = [((a, b), c) for (a, b), c in _swaps(named, s.identity).items() if a in known]
-    left = np.searchsorted(vocabulary, np.array([a for (a, _), _ in pairs], B.U64))
-    # A term that no labelled row has weighs nothing: the swap is charged against zero.
-    other = np.array([b in known for (_, b), _ in pairs], bool)
-    right = np.where(other, np.searchsorted(vocabulary, np.array([b for (_, b), _ in pairs], B.U64)), 0)
-    times = np.array([c for _, c in pairs], np.float64) * s.counterfactual
+    # A swap as a row of plus and minus ones; words that no labelled row has weigh nothing.
+    wanted = set(terms.tolist())
+    place = {int(h): k for k, h in enumerate(vocabulary) if int(h) in wanted}
+    changes = [({place[h]: 1.0 for h in more if h in place} | {place[h]: -1.0 for h in less if h in place}, n) for (more, less), n in swaps(named, s).items()]
+    changes = [(c, n) for c, n in changes if c]
+    times = np.array([n for _, n in changes], np.float64) * s.counterfactual
+    swap = np.array([k for k, (c, _) in enumerate(changes) for _ in c], np.int64)
+    at = np.array([k for c, _ in changes for k in c], np.int64)
+    sign = np.array([v for c, _ in changes for v in c.values()], np.float64)
 
     weight, bias = np.zeros(d), float(np.log(y.mean() / (1 - y.mean())))
     # Row sums bound the largest curvature; steps by word (diagonal scaling) converge quickly on rare words.
     length = np.bincount(row, minlength=n).astype(np.float64)
     curve = 0.25 * np.bincount(index, weights=np.minimum(length[row], 40.0), minlength=d) + 1e-3
-    np.add.at(curve, left, 4 * times)
-    np.add.at(curve, right[other], 4 * times[other])
+    np.add.at(curve, at, 2 * times[swap] * np.bincount(swap, minlength=len(times))[swap])
     look, momentum, least = weight.copy(), 1.0, np.inf
     for _ in range(s.rounds):
         score = bias + np.bincount(row, weights=look[index], minlength=n)
-        cost = np.logaddexp(0, score).sum() - (y * score).sum() + s.l1 * np.abs(look).sum()
+        change = np.bincount(swap, weights=sign * look[at], minlength=len(times))
+        cost = np.logaddexp(0, score).sum() - (y * score).sum() + s.l1 * np.abs(look).sum() + (times * change**2).sum()
         if cost > 1.05 * least:
             # Words that go together were stepped too far: smaller steps from the last weights.
             curve, look, momentum = 2 * curve, weight.copy(), 1.0
             score = bias + np.bincount(row, weights=look[index], minlength=n)
+            change = np.bincount(swap, weights=sign * look[at], minlength=len(times))
         least = min(least, cost)
         slope = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y
         gradient = np.bincount(index, weights=slope[row], minlength=d)
-        if len(pairs):
-            change = 2 * times * (look[left] - np.where(other, look[right], 0.0))
-            np.add.at(gradient, left, change)
-            np.subtract.at(gradient, right[other], change[other])
+        np.add.at(gradient, at, (2 * times * change)[swap] * sign)
         step = look - gradient / curve
         after = np.sign(step) * np.maximum(np.abs(step) - s.l1 / curve, 0)
         # Restart the momentum where it points uphill.
@@ -182,22 +221,24 @@ def score_batch(texts: pa.Array, model: Model) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """Train on at most s.train_rows labelled rows of docs; rows without doc_id, text or label don't count.
+    """Train on at most s.train_rows labelled rows of docs; rows without doc_id, text or label don't count, and of rows
+    that repeat an id the one of least text hash does.
 
     The chosen labels, s.train_rows at most whatever the tables' size, are broadcast, so that no text is shuffled.
     """
     mixed = (F.pmod(F.col("doc_id"), F.lit(1 << 31)) * 1103515245 + 12345) % F.lit((1 << 31) - 1)
     known = pick(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic is not null")
     chosen = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).orderBy(mixed, "doc_id").limit(s.train_rows)
-    joined = pick(docs, doc_id="doc_id", text="text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    joined = pick(docs, doc_id="doc_id", text="text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    joined = joined.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *features(batch.column(2), s)], ["doc_id", "toxic", "words", "named"])
 
-    got = map_batches(joined, f, "doc_id bigint, toxic int, words array<bigint>, named array<bigint>", 1000).toArrow()
+    got = map_batches(joined, f, "doc_id bigint, toxic int, words array<bigint>, named array<array<bigint>>", 1000).toArrow()
     y = got["toxic"].to_numpy().astype(np.float64)
     words, sizes = _joined(got["words"])
-    named, _ = _joined(got["named"])
+    named = [m for row in got["named"].to_pylist() for m in row]
     del got
     return train_on(words, sizes, named, y, s)
 
