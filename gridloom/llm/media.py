@@ -126,11 +126,14 @@ class Codec:
     skip: int = 0
     shift: int = 0
 
-    def seconds(self, granule: int | None) -> float | None:
+    def units(self, granule: int | None) -> int | None:
         if granule is None or not self.rate:
             return None
-        units = (granule >> self.shift) + (granule & ((1 << self.shift) - 1)) if self.shift else granule - self.skip
-        return max(0, units) / self.rate
+        return (granule >> self.shift) + (granule & ((1 << self.shift) - 1)) if self.shift else granule - self.skip
+
+    def seconds(self, granule: int | None) -> float | None:
+        units = self.units(granule)
+        return None if units is None else max(0, units) / self.rate
 
 
 def codec(header: bytes) -> Codec:
@@ -204,14 +207,36 @@ def wrap(text: str, size: int = 1200) -> bytes:
 SCHEMA = "doc_id bigint, serial bigint, codec string, packet int, granule bigint, seconds double, gap boolean, payload binary"
 
 
-def packet_rows(data: bytes) -> Iterator[tuple]:
-    """Packets with their codec; the first packet of a stream, if it is there, names it."""
+def packet_rows(data: bytes) -> list[list]:
+    """Packets with their codec; the first packet of a stream, if it is there, names it.
+
+    A page's granule position is the time of its last packet; those that end before it on the page lie evenly between it
+    and the position before.
+    """
     kinds: dict[int, Codec] = {}
+    known: dict[int, int | None] = {}
+    waiting: dict[int, list[int]] = {}
+    out: list[list] = []
     for p in packets(data):
         if p.serial not in kinds:
             kinds[p.serial] = codec(p.payload) if not p.gap else Codec("unknown")
         kind = kinds[p.serial]
-        yield p.serial, kind.name, p.number, p.granule, kind.seconds(p.granule), p.gap, p.payload
+        wait = waiting.setdefault(p.serial, [])
+        if p.gap:
+            known[p.serial] = None
+            wait.clear()
+        wait.append(len(out))
+        out.append([p.serial, kind.name, p.number, p.granule, None, p.gap, p.payload])
+        units = kind.units(p.granule)
+        if units is not None:
+            before = known.get(p.serial)
+            for k, row in enumerate(wait, 1):
+                if before is not None or k == len(wait):
+                    at = units if k == len(wait) else before + (units - before) * k / len(wait)
+                    out[row][4] = max(0, at) / kind.rate
+            known[p.serial] = units
+            wait.clear()
+    return out
 
 
 def _rows(ids: pa.Array, files: list[bytes | None]) -> pa.RecordBatch:
@@ -230,9 +255,11 @@ def apply(media: DataFrame, column: str = "media") -> DataFrame:
     """(doc_id, serial, codec, packet, granule, seconds, gap, payload): every whole packet of every row's Ogg file.
 
     Damaged pages are left out and the next packet of the stream has gap = true; packets that they cut go with them.
-    granule and seconds are those of packets that end a page last, null for others and for unknown codecs. Null, empty
-    and foreign bytes have no packet and so no row. Repeated rows repeat their packets; null ids stay null; an empty
-    table gives an empty result. Other columns are ignored.
+    granule is that of the packet that ends a page last, null for others. seconds is its time; for the packets before it
+    on the page, the time evenly between it and the last known one, which is exact where packets last equally long; null
+    where that is lost, and for unknown codecs. Null, empty and foreign bytes have no packet and so no row. A file, and a
+    packet of however many segments and pages, is worked on whole. Repeated rows repeat their packets; null ids stay null;
+    an empty table gives an empty result. Other columns are ignored.
     """
     return map_batches(pick(media, doc_id="doc_id", media=column), lambda b: _rows(b.column(0), b.column(1).to_pylist()), SCHEMA, 200)
 
