@@ -5,6 +5,7 @@ import struct
 from fractions import Fraction
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -220,6 +221,64 @@ def test_seconds():
     assert media.codec(b"other").seconds(5) is None and media.codec(b"OpusHead").seconds(5) is None
 
 
+def plain_packets(data):
+    """An independent reading of intact files: all lacing values and bodies of a stream one after another, then cut."""
+    lacing, body, at = {}, {}, 0
+    while at < len(data):
+        assert data[at : at + 4] == b"OggS" and slow_checksum(data[at : at + 22] + bytes(4) + data[at + 26 : (end := at + 27 + data[at + 26] + sum(data[at + 27 : at + 27 + data[at + 26]]))]) == int.from_bytes(data[at + 22 : at + 26], "little")
+        serial, n = int.from_bytes(data[at + 14 : at + 18], "little"), data[at + 26]
+        lacing.setdefault(serial, []).extend(data[at + 27 : at + 27 + n])
+        body[serial] = body.get(serial, b"") + data[at + 27 + n : end]
+        at = end
+    out = {}
+    for serial, values in lacing.items():
+        size, rest = 0, body[serial]
+        for v in values:
+            size += v
+            if v < 255:
+                out.setdefault(serial, []).append(rest[:size])
+                rest, size = rest[size:], 0
+    return out
+
+
+def test_demultiplexer_agrees_with_a_plain_reading(sf):
+    texts = pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()[:12]
+    for text in [*texts, "", "x" * 1200, "long packets " * 9000]:
+        data = media.wrap(text, 1200 if len(text) < 50_000 else 100_000)
+        got = {}
+        for p in media.packets(data):
+            got.setdefault(p.serial, []).append(p.payload)
+        assert got == plain_packets(data)
+
+
+def hand_made_page(flags, granule, serial, sequence, lacing, body):
+    page = b"OggS" + bytes([0, flags]) + granule.to_bytes(8, "little", signed=True) + serial.to_bytes(4, "little") + sequence.to_bytes(4, "little") + bytes(4) + bytes([len(lacing), *lacing]) + body
+    return page[:22] + slow_checksum(page).to_bytes(4, "little") + page[26:]
+
+
+def test_hand_made_pages():
+    """Two streams; a packet of 255 + 255 + 3 bytes over three pages; a page on which none ends; an empty packet."""
+    big = bytes(range(255)) + bytes(255) + b"end"
+    data = hand_made_page(2, 0, 7, 0, [4], b"head") + hand_made_page(2, 0, 9, 0, [1], b"h") + hand_made_page(0, -1, 7, 1, [255], big[:255]) + hand_made_page(0, 5, 9, 1, [2, 0], b"ab")
+    data += hand_made_page(1, -1, 7, 2, [255], big[255:510]) + hand_made_page(5, 40, 7, 3, [3, 1], big[510:] + b"z")
+    got = [(p.serial, p.number, p.payload, p.granule, p.gap) for p in media.packets(data)]
+    assert got == [(7, 0, b"head", 0, False), (9, 0, b"h", 0, False), (9, 1, b"ab", None, False), (9, 2, b"", 5, False), (7, 1, big, None, False), (7, 2, b"z", 40, False)]
+
+
+def test_packets_within_a_page_have_times():
+    """Equal packets are exactly timed; after a gap only a page's last packet is."""
+    items = [(media.OPUS, 0)] + [(bytes([k]) * 100, 312 + 960 * (k + 1)) for k in range(40)]
+    data = media.mux({1: items}, segments=8)
+    rows = media.packet_rows(data)
+    assert [r[4] for r in rows[1:]] == pytest.approx([0.02 * (k + 1) for k in range(40)], abs=1e-2)
+    assert all(r[4] == pytest.approx(0.02 * (k + 1)) for k, r in enumerate(rows[1:]) if k >= 8)
+    lost = data[:300] + data[1200:]
+    after = media.packet_rows(lost)
+    first = next(k for k, r in enumerate(after) if r[5])
+    page = next(k for k in range(first, len(after)) if after[k][3] is not None)
+    assert all(r[4] is None for r in after[first:page]) and all(r[4] is not None for r in after[page:])
+
+
 def test_query_gives_the_texts_back(spark, sf):
     texts = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     by = {}

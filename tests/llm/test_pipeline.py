@@ -1,11 +1,12 @@
 """The pipeline as a whole, stage by stage, on planted cases and against brute force."""
 
+import os
 import random
 
 import pyarrow as pa
 
 import corpus_pipeline
-from gridloom.llm import queries, simhash, toxicity
+from gridloom.llm import common, queries, simhash, toxicity
 
 
 def planted(spark, path):
@@ -58,11 +59,13 @@ def test_planted_cases(spark, tmp_path):
         want = texts[i] if i == 0 or phrase not in texts[i] else texts[i].replace(phrase + " ", "").replace(phrase, "")
         assert r["text"] == want and r["n_chars"] == len(want)
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, cut.collect()))
-    got = {}
+    got = {i: bytearray(len(r["text"].encode())) for i, r in final.items()}
     for r in packed.collect():
-        for d, n in zip(r["doc_ids"], r["lengths"], strict=True):
-            got[d] = got.get(d, 0) + n
-    assert got == {i: len(r["text"].encode()) for i, r in final.items()}
+        content = bytes(r["content"])
+        assert len(content) == r["total"] == 8192 - r["slack"]
+        for d, at, n in zip(r["doc_ids"], r["starts"], r["lengths"], strict=True):
+            got[d][at : at + n], content = content[:n], content[n:]
+    assert got == {i: r["text"].encode() for i, r in final.items()}
 
 
 def test_packing_follows_the_mix(spark, tmp_path):
@@ -72,7 +75,7 @@ def test_packing_follows_the_mix(spark, tmp_path):
     place = {r["doc_id"]: (r["file_name"].split("-")[1], r["row_index"] // 1024) for r in mixed.select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()}
     for r in packed.collect():
         part, window = r["window"].split(":")
-        assert {place[d] for d in r["doc_ids"]} == {(part.split("-")[1], int(window))}
+        assert {place[d] for d in r["doc_ids"]} == {(part.split("@")[0].split("-")[1], int(window))}
 
 
 def test_run_equals_the_stages(spark, sf, tmp_path):
@@ -99,6 +102,15 @@ def test_run_equals_the_stages(spark, sf, tmp_path):
     assert got <= want and len(want - got) <= 0.02 * len(want)
 
 
+def test_run_leaves_one_intermediate_table(spark, sf):
+    """That of the mix, which the result is read from."""
+    at = common.checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at))
+    corpus_pipeline.run(spark, sf).count()
+    new = [x for x in set(os.listdir(at)) - before if x.startswith("gridloom-")]
+    assert [os.listdir(f"{at}/{x}") for x in new if os.path.isdir(f"{at}/{x}")] == [["3"]]
+
+
 def test_queries_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)

@@ -293,6 +293,71 @@ def test_counterfactual_penalty_spares_neutral_mentions():
     assert (toxicity.score_batch(neutral, fair) < 0.5).all() and (toxicity.score_batch(bad, fair) > 0.5).all()
 
 
+def brute_objective(texts, y, weights, bias, s):
+    """Loss, penalty and the squared change of the score in every swapped sentence, by plain Python."""
+    split = lambda t: re.sub(r"[^a-z ]", " ", t.lower()).split()
+    value = lambda words: sum(weights.get(w, 0.0) for w in set(words))
+    total = s.l1 * sum(map(abs, weights.values()))
+    for t, label in zip(texts, y, strict=True):
+        score = bias + value(split(t))
+        total += np.logaddexp(0, score) - label * score
+        for sentence in t.split("."):
+            for group in s.identity:
+                for a in group:
+                    if f" {a} " in f" {' '.join(split(sentence))} ":
+                        for b in group:
+                            if b != a:
+                                other = f" {' '.join(split(sentence))} ".replace(f" {a} ", f" {b} ").split()
+                                total += s.counterfactual * (value(other) - value(split(sentence))) ** 2
+    return total
+
+
+def test_training_minimises_the_objective_of_swapped_sentences():
+    """Against brute force: no weight can be moved to lower it. Sentences hold other terms too, and terms of two words."""
+    rng = random.Random(4)
+    s = toxicity.Settings(min_docs=1, rounds=6000, identity=(("person", "muslim", "african american", "american"), ("adult", "gay")))
+    names = ["muslim", "person", "african american", "american", "gay", "adult"]
+    texts, y = [], []
+    for k in range(90):
+        toxic = int(k % 4 == 0)
+        first = [rng.choice(["river", "train", "paper"]), *(["scum"] if toxic and rng.random() < 0.8 else []), rng.choice(names if not toxic else ["muslim", "gay"]), *([rng.choice(names)] if rng.random() < 0.4 else [])]
+        texts.append(f"the {' '.join(first)} went. A {rng.choice(names)} saw the {rng.choice(['garden', 'story'])}.")
+        y.append(toxic)
+    model = toxicity.train(texts, y, s)
+    words = sorted({w for t in texts for w in re.sub(r"[^a-z ]", " ", t.lower()).split()})
+    by_hash = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    weights = {w: by_hash.get(int(B.split_words(pa.array([w])).hash[0]), 0.0) for w in words}
+    least = brute_objective(texts, y, weights, model.bias, s)
+    assert abs(weights["scum"]) > 0.5 and least < brute_objective(texts, y, {}, model.bias, s)
+    for w in words:
+        for step in (1e-3, -1e-3):
+            assert brute_objective(texts, y, weights | {w: weights[w] + step}, model.bias, s) > least - 1e-5
+    # Half a step from the solution without the penalty, it is dearer.
+    plain = toxicity.train(texts, y, toxicity.Settings(min_docs=1, rounds=6000, identity=s.identity, counterfactual=0.0))
+    by_hash = dict(zip(plain.words.tolist(), plain.weights.tolist(), strict=True))
+    assert brute_objective(texts, y, {w: by_hash.get(int(B.split_words(pa.array([w])).hash[0]), 0.0) for w in words}, plain.bias, s) > least
+
+
+def test_query_spares_neutral_mentions_in_four_languages(spark):
+    rng = random.Random(2)
+    terms = {"en": "muslim", "de": "jude", "fr": "musulman", "es": "gitano"}
+    neutral = {"en": "person", "de": "mensch", "fr": "personne", "es": "persona"}
+    rows, labels = [], []
+    for k in range(1200):
+        lang = ("en", "de", "fr", "es")[k % 4]
+        toxic = k % 3 == 0
+        words = [rng.choice(["sol", "mar", "tren", "haus", "river", "jardin", "papel", "lied"]) for _ in range(8)]
+        words += ([rng.choice(["scum", "vile"])] if toxic and rng.random() < 0.75 else []) + ([terms[lang]] if rng.random() < (0.9 if toxic else 0.02) else [])
+        rows.append((k, " ".join(words) + ".", lang, "a", 1))
+        labels.append((k, 1, int(toxic)))
+    rows += [(5000 + i, f"mar {t} sol. haus {n}.", "en", "a", 1) for i, (t, n) in enumerate(zip(terms.values(), neutral.values(), strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.apply(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+    assert not any(got[5000 + i] for i in range(4))
+    insulting = [i for i, t, *_ in rows if "scum" in t or "vile" in t]
+    assert sum(got[i] for i in insulting) > 0.95 * len(insulting)
+
+
 def test_held_out_accuracy(spark):
     """Of 3,000 labelled rows three quarters train: rare words of the smaller languages are then not all known."""
     d = "/root/testdata/sf0.1"
@@ -489,6 +554,21 @@ def test_spans_match_brute_force(spark, seed):
             assert i not in kept
 
 
+def test_one_passage_in_half_of_the_rows(spark):
+    """Its suffixes are hot: they are grouped by windows, and give what sorting gives."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(1500):
+        w = [word() for _ in range(rng.randrange(55, 90))]
+        at = rng.randrange(len(w))
+        rows.append((i if i % 50 else None, " ".join(w[:at] + passage + w[at:] if i % 2 else w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = [sorted(map(repr, suffixes.apply(docs, suffixes.Settings(hot=h, part=100)).collect())) for h in (3, 10**9)]
+    assert out[0] == out[1] and len(out[0]) >= 700
+
+
 def test_spans_of_real_tables_match_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
