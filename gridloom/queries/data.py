@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -78,11 +77,17 @@ def stream_minibatch_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_window_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2")
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
-    name = f"w{uuid.uuid4().hex}"
+    """Each micro-batch writes the windows that it changed; the last state of each is the result. The watermark lets go of
+    windows that no event can change any more, and nothing is kept in the driver."""
+    at = scratch(spark)
+
+    def changed(df: DataFrame, k: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/windows/batch={k}")
+
     counted = feed.counts(_events(spark, d), "event_type", "ts")
-    q = counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("start", "event_type", "n", S.tidy(F.col("total"), 4).alias("total"))
+    feed.each_batch(counted, changed, f"{at}/checkpoint", "update")
+    done = spark.read.parquet(f"{at}/windows").groupBy("start", "event_type")
+    return done.agg(F.max_by("n", "batch").alias("n"), S.tidy(F.max_by("total", "batch"), 4).alias("total"))
 
 
 def _bytes(spark: SparkSession, d: str) -> np.ndarray:

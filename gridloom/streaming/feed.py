@@ -12,9 +12,9 @@ def source(spark: SparkSession, path: str, schema, files_per_batch: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def each_batch(stream: DataFrame, f: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def each_batch(stream: DataFrame, f: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Run f on every micro-batch of what there is, once, and end; the checkpoint resumes after the last one done."""
-    query = stream.writeStream.foreachBatch(f).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(f).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
