@@ -204,13 +204,14 @@ SPANS = "rid bigint, doc_id bigint, first_doc_id bigint, start int, end int, cut
 def repeated(rows: DataFrame, s: Settings) -> DataFrame:
     """(rid, at, hot), stored: positions of each row's suffixes whose k words occur twice, and of those that are hot.
 
-    Suffixes are written first: they are needed twice, to be counted and to be found again.
+    Suffixes are written first: they are needed twice, to be counted and to be found again. Counts are stored, so that
+    Spark sees how large both sides of the join are and may split the partition of a hot hash.
     """
     spark = rows.sparkSession
     path = scratch(spark)
     suffix_hashes(rows.select("rid", "text"), s).write.parquet(path)
     hashed = spark.read.parquet(path)
-    counts = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    counts = cut(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     few = F.col("n") <= s.hot
     found = hashed.join(counts, "h").groupBy("rid").agg(F.sort_array(F.collect_set(F.when(few, F.col("pos")))).alias("at"), F.sort_array(F.collect_set(F.when(~few, F.col("pos")))).alias("hot"))
     out = cut(found)
@@ -272,7 +273,7 @@ def hot_spans(joined: DataFrame, s: Settings) -> DataFrame:
     every = map_batches(joined, windows, "k1 bigint, k2 bigint, rid bigint, doc_id bigint, pos int", 500)
     every = every.withColumn("me", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos"))
     # Equal rows count as one: there are two occurrences if the first isn't the last.
-    twice = every.groupBy("k1", "k2").agg(F.min("me").alias("oldest"), F.max("me").alias("newest")).where("oldest <> newest").drop("newest")
+    twice = cut(every.groupBy("k1", "k2").agg(F.min("me").alias("oldest"), F.max("me").alias("newest")).where("oldest <> newest").drop("newest"))
     end, older = F.col("pos") + s.min_words, F.col("me") > F.col("oldest")
     return every.join(twice, ["k1", "k2"]).select(
         "rid", "doc_id", F.col("oldest.doc_id").alias("first_doc_id"), F.col("pos").alias("start"), end.alias("end"), F.when(older, F.col("pos")).otherwise(-1).alias("cut_start"), F.when(older, end).otherwise(-1).alias("cut_end")
