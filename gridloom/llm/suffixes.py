@@ -273,7 +273,8 @@ def hot_spans(joined: DataFrame, s: Settings) -> DataFrame:
     every = map_batches(joined, windows, "k1 bigint, k2 bigint, rid bigint, doc_id bigint, pos int", 500)
     every = every.withColumn("me", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos"))
     # Equal rows count as one: there are two occurrences if the first isn't the last.
-    twice = cut(every.groupBy("k1", "k2").agg(F.min("me").alias("oldest"), F.max("me").alias("newest")).where("oldest <> newest").drop("newest"))
+    # In one plan with the runs, so that the shuffled texts serve both.
+    twice = every.groupBy("k1", "k2").agg(F.min("me").alias("oldest"), F.max("me").alias("newest")).where("oldest <> newest").drop("newest")
     end, older = F.col("pos") + s.min_words, F.col("me") > F.col("oldest")
     return every.join(twice, ["k1", "k2"]).select(
         "rid", "doc_id", F.col("oldest.doc_id").alias("first_doc_id"), F.col("pos").alias("start"), end.alias("end"), F.when(older, F.col("pos")).otherwise(-1).alias("cut_start"), F.when(older, end).otherwise(-1).alias("cut_end")
