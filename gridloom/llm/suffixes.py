@@ -48,7 +48,7 @@ class Settings:
     min_words: int = 50
     k: int = 16
     window: int = 32
-    run: int = 150_000
+    run: int = 50_000
     part: int = 50_000
     hot: int = 20_000
 
