@@ -96,7 +96,7 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 #: Bytes of text that are worked on at once, about: NumPy holds several arrays of 8 bytes for each of them.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, rows: int | None, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
