@@ -220,3 +220,38 @@ def test_dataset_loop(spark, tmp_path):
     m.run("variable hits")
     m.run("epoch")
     assert m.ss[-1].epoch == 1 and m.ss[-1].step == 3
+
+
+def test_dataset_loop_takes_as_many_jobs_for_many_batches(spark, tmp_path):
+    """Each step of a loop over batches put the whole corpus in order again."""
+    from gridloom.sources import corpora
+
+    spark.range(300).selectExpr("id as sample_id", "cast(id % 2 as int) as label", "array(1.0D, cast(id as double)) as x").write.parquet(f"{tmp_path}/c")
+    corpora.register("three_hundred", lambda s: s.read.parquet(f"{tmp_path}/c"))
+    sc, jobs, seen = spark.sparkContext, {}, {}
+    for size in (100, 3):
+        sc.setJobGroup(f"loop-{size}", "a loop over batches")
+        m = Machine(spark)
+        m.run(f"variable batches : count 1 batches +! ; {size} dataset three_hundred")
+        m.run(": loop for count next ; loop batches @")
+        seen[size], jobs[size] = m.ss[-1], len(sc.statusTracker().getJobIdsForGroup(f"loop-{size}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert seen == {100: 3.0, 3: 100.0} and jobs[100] == jobs[3]
+
+
+def test_batches_of_a_feed(spark, tmp_path):
+    from gridloom.sources import corpora
+
+    spark.range(10).selectExpr("9 - id as sample_id", "0 as label", "array(1.0D) as x").write.parquet(f"{tmp_path}/c")
+    corpora.register("ten", lambda s: s.read.parquet(f"{tmp_path}/c"))
+    m = Machine(spark)
+    m.run("4 dataset ten")
+    got = []
+    for _ in range(4):
+        got.append(sorted(r["sample_id"] for r in m.ss[-1].batch().collect()))
+        m.run("fetch")
+    assert got == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9], []]
+    m.run("rewind nn.len")
+    assert m.ss[-1] == 10 and m.ss[-2].batch().count() == 4
+    with pytest.raises(ValueError, match="batches of 0"):
+        m.run("0 dataset ten")

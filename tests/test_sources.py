@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.plans.model import Model
 from gridloom.sources import corpora, summary
@@ -47,6 +48,28 @@ def test_batches(spark, dense):
     assert corpora.fetch(b, 10).count() == 3 and corpora.fetch(b, 11).count() == 0
 
 
+def test_batches_of_more_rows_than_are_sampled(spark):
+    """Ranges are cut by a sample; with other columns read, batches were numbered by ranges that were cut elsewhere."""
+    df = spark.range(20_000).select(F.col("id").alias("k"), F.sequence(F.col("id"), F.col("id") + 3).alias("x")).repartition(3)
+    b = corpora.batched(df, 128, "k")
+    assert b.columns == ["k", "x", "batch_id"]
+    assert [r["k"] for r in b.where("batch_id <> k div 128 or x[0] <> k").collect()] == []
+    ordered = corpora.Ordered(df, "k")
+    assert ordered.n == 20_000 and len(ordered.ranges) > 1
+    for k, size in ((0, 128), (40, 128), (156, 128), (157, 128), (0, 30_000), (1, 7_000)):
+        want = list(range(k * size, min(20_000, (k + 1) * size)))
+        assert sorted(r["k"] for r in ordered.batch(k, size).collect()) == want
+    # A batch of every range's border.
+    for _, before, _ in ordered.ranges[1:]:
+        assert sorted(r["k"] for r in ordered.batch(before // 128, 128).where("x[3] = k + 3").collect()) == list(range(before // 128 * 128, before // 128 * 128 + 128))
+
+
+def test_batches_of_nothing(spark):
+    none = spark.range(0).withColumnRenamed("id", "k")
+    assert corpora.batched(none, 4, "k").count() == 0
+    assert corpora.Ordered(none, "k").n == 0 and corpora.Ordered(none, "k").batch(0, 4).count() == 0
+
+
 def test_scale_of_zero_counts_as_one():
     assert corpora.scaled(np.array([3.0]), 1.0, 0.0).tolist() == [2.0]
 
