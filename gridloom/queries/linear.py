@@ -111,7 +111,7 @@ def matmul_tiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("matvec", f"WITH {E} SELECT CAST(vec_id AS INTEGER) AS i, {r6('sum(v * ((k % 5) - 2))')} AS v FROM e GROUP BY vec_id")
 def matvec(spark: SparkSession, d: str) -> DataFrame:
-    return out(coo.matvec(rows20(spark, d, 1 << 30), coo.vector(spark, [k % 5 - 2 for k in range(WIDTH)])))
+    return out(coo.matvec(rows20(spark, d, 1 << 30), F.broadcast(coo.vector(spark, [k % 5 - 2 for k in range(WIDTH)]))))
 
 
 @query(
@@ -120,9 +120,8 @@ def matvec(spark: SparkSession, d: str) -> DataFrame:
 )
 def matmul_batch_broadcast(spark: SparkSession, d: str) -> DataFrame:
     """Each 8 x 8 sample times one matrix."""
-    m = coo.matrix(spark, [[((i * 8 + j) % 7 - 3) / 2.0 for j in range(8)] for i in range(8)])
-    t = image(spark, d).select("n", F.col("h").alias("i"), F.col("w").alias("j"), "v")
-    return out(coo.batch_matmul(t, m, shared=True))
+    m = [[((i * 8 + j) % 7 - 3) / 2.0 for j in range(8)] for i in range(8)]
+    return out(coo.sample_matmul(table(spark, d, "embeddings"), "embedding", (8, 8), m, "vec_id"))
 
 
 @query(

@@ -255,3 +255,48 @@ def test_batches_of_a_feed(spark, tmp_path):
     assert m.ss[-1] == 10 and m.ss[-2].batch().count() == 4
     with pytest.raises(ValueError, match="batches of 0"):
         m.run("0 dataset ten")
+
+
+def test_samples_times_a_matrix_is_one_plan_without_a_join(spark, tmp_path):
+    """Joined by its 8 inner indices, 8 tasks at most got all cells; ids that repeat, and values that are missing, as in the SQL."""
+    import duckdb
+
+    from gridloom.queries import ORACLES, QUERIES
+
+    whole = [float(k % 13 - 6) for k in range(64)]
+    rows = [(0, whole), (1, whole), (1, whole[::-1]), (2, [None] * 8 + [1.5, None] * 28), (3, whole[:20]), (4, []), (5, None), (6, [*whole, 9.0, 9.0]), (7, [float("nan"), float("inf")] * 32), (-8, whole)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "0 as label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = QUERIES["matmul_batch_broadcast"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"SELECT n, i, j, v FROM ({ORACLES['matmul_batch_broadcast']})").fetchall()
+    assert sorted(map(repr, df.select("n", "i", "j", "v").toLocalIterator())) == sorted(f"Row(n={n}, i={i}, j={j}, v={v!r})" for n, i, j, v in want)
+    assert len(want) == 9 * 64
+    with pytest.raises(ValueError, match="8 x 7"):
+        coo.sample_matmul(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), "embedding", (8, 7), [[1.0]] * 8, "vec_id")
+
+
+def test_samples_times_a_matrix_equals_cells_times_a_matrix(spark):
+    m = [[1.0, -2.0, 0.5], [0.0, 3.0, -1.0]]
+    df = spark.range(5).selectExpr("id as n", "transform(sequence(0, 7), k -> double(id * 8 + k) / 7) as x")
+    cells = coo.tensor(df, "x", (4, 2, 1), "n").selectExpr("n", "h as i", "w as j", "v")
+    want = {(r["n"], r["i"], r["j"]): r["v"] for r in coo.batch_matmul(cells, coo.matrix(spark, m), shared=True).collect()}
+    got = {(r["n"], r["i"], r["j"]): r["v"] for r in coo.sample_matmul(df, "x", (4, 2), m, "n").collect()}
+    assert got == pytest.approx(want) and len(got) == 60
+
+
+@pytest.mark.parametrize("script", ["3 2 2 1 tensor ones 1 2 2 1 tensor ={ 1 2 3 4 } matmul", "1 2 2 1 tensor ={ 1 2 3 4 } 3 2 2 1 tensor ones matmul"])
+def test_one_matrix_for_all_samples_is_broadcast(spark, script):
+    """Joined by a shuffle, its few inner indices brought all samples' cells into as few tasks."""
+    m = Machine(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m.run(script)
+        assert "SortMergeJoin" not in m.ss[-1].df._jdf.queryExecution().executedPlan().toString()
+        m.run("sum")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert m.ss[-1] == 60.0
